@@ -12,7 +12,7 @@ LOCAL_SHARED_DIR = "/tmp/checkpoints/lodestone"
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in one Arrow batch; with texts of some kB a batch stays at a few MB.
-ARROW_ROWS = 500
+ARROW_ROWS = 200
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,11 +28,11 @@ from lodestone.llm._common import identified, small_batches, stored
 from lodestone.llm._rolling import BYTE_IMAGE, U, Prefix, mix, text_bytes, word_symbols, words_of
 
 #: Symbols handled at once; longer texts are cut into overlapping slices.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Different units of one anchor hash that are compared in one place.
 GROUP = 512
 #: Window hashes compared at once.
-BUFFER = 1 << 21
+BUFFER = 1 << 19
 _LOW = 21
 
 
