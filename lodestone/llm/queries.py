@@ -9,6 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm._common import read_table
 
 
+def public_tokenizer(name: str) -> str:
+    """The path of one of the public tokenizer files that are installed on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.token_output import token_output
+
+    return token_output(read_table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.suffix_dedup import remove_repeated_bytes
 
@@ -22,6 +35,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_output": op1_token_output,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
