@@ -4,8 +4,8 @@ Every window of ``window`` symbols has an anchor: the gram of ``gram`` symbols i
 the rightmost of equal ones. The anchor depends on the window's content alone, so equal windows have equal
 anchors at equal offsets. Consecutive windows with one anchor make a *unit*, about 2 per window length:
 
-1. Units are grouped by anchor hash and by the 128-bit hash of all they cover. A unit that occurs twice is all
-   repeats. A unit whose anchor hash occurs nowhere else has none.
+1. Units whose anchor hash occurs nowhere else hold no repeat and go first. The others are grouped by anchor hash
+   and by the hash of all they cover, 128 bits together. A unit that occurs twice is all repeats.
 2. What is left (an anchor seen with different surroundings, as at the ends of a shared passage) sends its symbols
    to the anchor's group, once for each different unit, and window hashes are compared there. A group of
    more than ``GROUP`` different units is dealt by window hash over as many subgroups as it needs.
@@ -46,10 +46,10 @@ class Spec:
 
 
 def anchored_units(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, spec: Spec) -> tuple[np.ndarray, ...]:
-    """Segment, start, number of windows, anchor hash and two content hashes of every unit of the segments."""
+    """Segment, start, number of windows, anchor hash and hash of the covered symbols (to another base) of every unit."""
     n, width = len(symbols), spec.window - spec.gram + 1
     if n < spec.window or not np.any(ends - starts >= spec.window):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     prefix = Prefix(symbols)
     grams = prefix.every(spec.gram)
     low = U((1 << _LOW) - 1)
@@ -74,7 +74,7 @@ def anchored_units(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, sp
     stop = np.minimum(np.append(at[1:], n), ends[segment] - spec.window + 1)
     until = stop - 1 + spec.window
     size = ((stop - at).astype(np.uint64) << U(16)) + (anchor[at] - at).astype(np.uint64)
-    return segment, at, stop - at, grams[anchor[at]], mix(prefix.of(at, until) ^ size), Prefix(symbols, 1).of(at, until)
+    return segment, at, stop - at, grams[anchor[at]], mix(Prefix(symbols, 1).of(at, until) ^ size)
 
 
 def sliced(raw: np.ndarray, offsets: np.ndarray, spec: Spec) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -114,7 +114,7 @@ def row_words(part: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, edges)
 
 
-UNITS = "rid long, rth long, start int, n int, key long, e1 long, e2 long"
+UNITS = "rid long, rth long, start int, n int, key long, entry long"
 
 
 def _emit_units(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -123,12 +123,12 @@ def _emit_units(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             raw, offsets = text_bytes(batch.column("text"))
             rid, rth = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "rth"))
             for symbols, starts, ends, of, base in sliced(raw, offsets, spec):
-                segment, at, n, key, e1, e2 = anchored_units(symbols, starts, ends, spec)
+                segment, at, n, key, entry = anchored_units(symbols, starts, ends, spec)
                 if len(at):
                     row = of[segment]
                     own = (at - starts[segment] + base[segment]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (rid[row], rth[row], own, n.astype(np.int32), key.view(np.int64), e1.view(np.int64), e2.view(np.int64))], ["rid", "rth", "start", "n", "key", "e1", "e2"]
+                        [pa.array(x) for x in (rid[row], rth[row], own, n.astype(np.int32), key.view(np.int64), entry.view(np.int64))], ["rid", "rth", "start", "n", "key", "entry"]
                     )
 
     return run
@@ -238,11 +238,14 @@ def repeated_windows(docs: DataFrame, spec: Spec) -> DataFrame:
     """Per row identity, ``spans``: the runs (start, n) of window starts whose window also starts anywhere else."""
     small_batches(docs.sparkSession)
     rows = identified(docs).select("rid", "rth", "text")
-    units = stored(rows.mapInArrow(_emit_units(spec), UNITS), "units")
-    variants = units.groupBy("key", "e1", "e2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("rid", "rth", "start", "n")).alias("first"))
-    keys = variants.groupBy("key").agg(F.sum("times").alias("total"), F.count(F.lit(1)).alias("variants")).filter("total > 1")
+    units = rows.mapInArrow(_emit_units(spec), UNITS)
+    # Computing units again costs less than keeping those, most of them, whose anchor occurs once.
+    common = units.groupBy("key").agg(F.count(F.lit(1)).alias("total")).filter("total > 1").select("key")
+    units = stored(units.join(common, "key", "left_semi"), "units")
+    variants = units.groupBy("key", "entry").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("rid", "rth", "start", "n")).alias("first"))
+    keys = variants.groupBy("key").agg(F.count(F.lit(1)).alias("variants"))
     seen = stored(variants.join(keys, "key"), "variants")
-    whole = units.join(seen.filter("times > 1").select("key", "e1", "e2"), ["key", "e1", "e2"], "left_semi").select("rid", "rth", "start", "n")
+    whole = units.join(seen.filter("times > 1").select("key", "entry"), ["key", "entry"], "left_semi").select("rid", "rth", "start", "n")
     unsure = (
         seen.filter("variants > 1")
         .select("first.rid", "first.rth", F.struct("first.start", "first.n", "key", (F.col("times") == 1).alias("single"), "variants").alias("unit"))

@@ -79,11 +79,11 @@ def test_crowded_anchor_and_slices(spark, monkeypatch):
 
     batch = pa.RecordBatch.from_pydict({"rid": list(range(len(texts))), "rth": [0] * len(texts), "text": texts})
     units = [r for b in m._emit_units(spec)(iter([batch])) for r in b.to_pylist()]
-    entry = Counter((u["key"], u["e1"], u["e2"]) for u in units)
-    variants = Counter(k for k, _, _ in entry)
+    entry = Counter((u["key"], u["entry"]) for u in units)
+    variants = Counter(k for k, _ in entry)
     seen, spans, todo = set(), {}, {}
     for u in units:
-        e = (u["key"], u["e1"], u["e2"])
+        e = (u["key"], u["entry"])
         if entry[e] > 1:
             spans.setdefault(u["rid"], []).append(u)
         if variants[u["key"]] > 1 and e not in seen:
