@@ -28,6 +28,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(read_table(spark, sf_dir, "documents"), window=400)
 
 
+def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.near_dup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.substring_dedup import remove_repeated_words
 
@@ -37,6 +43,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op5_minhash_near_dup": op5_minhash_near_dup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
