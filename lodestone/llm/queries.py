@@ -34,6 +34,12 @@ def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.mixing import mix
+
+    return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.substring_dedup import remove_repeated_words
 
@@ -44,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_minhash_near_dup": op5_minhash_near_dup,
+    "op6_mixing": op6_mixing,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
