@@ -22,6 +22,12 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(read_table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"))
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.winnowing import edited_likeness
+
+    return edited_likeness(read_table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.suffix_dedup import remove_repeated_bytes
 
@@ -40,6 +46,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.secrets import scan_secrets
+
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.decontamination import leaks
+
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.substring_dedup import remove_repeated_words
 
@@ -48,9 +66,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op2_winnowing": op2_winnowing,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_minhash_near_dup": op5_minhash_near_dup,
     "op6_mixing": op6_mixing,
+    "op7_secrets": op7_secrets,
+    "op8_decontamination": op8_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
