@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,8 +45,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each context; they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_lodestone_sent", False):
+        return
+    top = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(), "lodestone_package.zip")
+    with zipfile.ZipFile(path, "w") as packed:
+        for f in sorted(top.rglob("*.py")):
+            packed.write(f, f.relative_to(top.parent))
+    context.addPyFile(str(path))
+    context._lodestone_sent = True
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches: a batch of very long texts must fit in a Python worker."""
+    """For stages in Python: their code is sent, and a batch of very long texts is kept within a worker's memory."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 

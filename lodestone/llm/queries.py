@@ -34,6 +34,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(read_table(spark, sf_dir, "documents"), window=400)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.langid import identify
+
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.near_dup import near_duplicates
 
@@ -58,6 +64,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.toxicity import learn, score
+
+    docs = read_table(spark, sf_dir, "documents")
+    return score(docs, learn(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.substring_dedup import remove_repeated_words
 
@@ -68,10 +81,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_winnowing": op2_winnowing,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_language_id": op4_language_id,
     "op5_minhash_near_dup": op5_minhash_near_dup,
     "op6_mixing": op6_mixing,
     "op7_secrets": op7_secrets,
     "op8_decontamination": op8_decontamination,
+    "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}

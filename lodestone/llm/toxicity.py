@@ -10,13 +10,13 @@ rewrites the class string of a clause, and their composition, built once as one
 What comes out are matched clauses by kind, each with the weight of its strongest word. The score is logistic in the
 logarithms of the kinds' sums.
 
-What is learned, from at most ``SAMPLE`` labelled rows (least hash first): insults, as whole words and as
+A short list of insults is fixed. What is learned, from at most ``SAMPLE`` labelled rows (least hash first): insults, as whole words and as
 beginnings of four or five letters, whose share of toxic texts is beyond chance after correction for the number of
 candidates; and the weights of the kinds, drawn to ``PRIOR`` where labels say nothing. The small closed classes
 are fixed lists in English, German, French and Spanish.
 
 Defined cases: null or empty text has no clause and the score of the bias alone. Labels of one doc_id that differ count
-as toxic; rows of labels without doc_id or toxic are ignored. Without labels no word is an insult. Repeated or null
+as toxic; rows of labels without doc_id or toxic are ignored. Without labels only the fixed insults count. Repeated or null
 doc_ids keep their rows (held_out of null is null); other columns are ignored. An empty table gives no rows.
 """
 
@@ -43,8 +43,12 @@ KINDS = ("insult", "aimed insult", "threat", "aimed threat", "negated", "reporte
 #: Weight of the bias and of each kind before labels.
 PRIOR = (-3.0, 2.0, 3.0, 1.0, 3.0, 0.2, 0.5)
 REACH = 3
+SEED_WEIGHT = 1.5
+#: Least share of toxic texts among those with a learned insult.
+PURE = 0.8
 
-# Closed word classes.
+# Closed word classes, and common insults that count before anything is learned.
+INSULT = "idiot idiots moron morons imbecile stupid dumb loser losers pathetic scum worthless trash disgusting clown jerk bastard arschloch trottel dummkopf abschaum connard imbécile crétin salaud imbécil estúpido cabrón gilipollas"
 TARGET = "you your yours yourself he she they him her them du dich dir ihr euch sie er tu toi te vous il elle ils elles ti usted ustedes él ella ellos"
 NEGATION = "not no never none nobody neither without isn aren wasn don doesn nicht kein keine nie niemals ohne ne pas jamais aucun sans nunca jamás sin ningún"
 REPORT = "said says say told tells wrote writes called calls quoted quotes claims claimed sagte sagt schrieb nannte dit disait écrit appelé dijo dice escribió llamó"
@@ -124,6 +128,7 @@ class Model:
     def __post_init__(self) -> None:
         self.grammar = grammar()
         self.closed = {w: c for c, ws in (("threat", THREAT), ("target", TARGET), ("negation", NEGATION), ("report", REPORT)) for w in ws.split()}
+        self.lexicon = dict.fromkeys(INSULT.split(), SEED_WEIGHT) | self.lexicon
         self.stems = {w[:-1] for w in self.lexicon if w.endswith("*")}
 
     def insult(self, word: str) -> float:
@@ -172,21 +177,24 @@ class Model:
 
 def _lexicon(sample: DataFrame) -> dict[str, float]:
     """Words and beginnings that stand in toxic texts beyond chance."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))
+    # Copies of one text are one witness: of rows with the same least word hash, mostly copies, one stays.
+    least = F.array_min(F.transform(F.filter("w", lambda x: F.char_length(x) > 4), lambda x: F.xxhash64(x)))
+    sample = stored(sample.select("toxic", words.alias("w")).withColumn("least", least).groupBy("least").agg(F.min(F.struct("toxic", "w")).alias("r")).select("r.*"), "witnesses")
     n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic or toxic == n:
         return {}
     share = toxic / n
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))
     stems = lambda k: F.transform(F.filter("w", lambda x: F.char_length(x) > 5), lambda x: F.concat(F.substring(x, 1, k), F.lit("*")))
-    every = sample.select("toxic", words.alias("w")).select("toxic", F.explode(F.array_distinct(F.concat("w", stems(4), stems(5)))).alias("feature"))
+    every = sample.select("toxic", F.explode(F.array_distinct(F.concat("w", stems(4), stems(5)))).alias("feature"))
     counts = stored(every.groupBy("feature").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n")).filter("a >= 3"), "features")
     tested = max(1, counts.count())
     p = F.col("a") / F.col("n")
     rest = F.when(p < 1, (1 - p) * F.log((1 - p) / F.lit(1 - share))).otherwise(0.0)
     evidence = F.col("n") * (p * F.log(p / F.lit(share)) + rest)
     odds = F.log((F.col("a") + 0.5) / (F.col("n") - F.col("a") + 0.5)) - F.lit(math.log(share / (1 - share)))
-    good = counts.select("feature", odds.alias("odds"), evidence.alias("evidence")).filter((F.col("evidence") > math.log(tested) + 3) & (F.col("odds") > math.log(8)))
-    return {f: min(4.0, o) for f, o, _ in good.orderBy(F.desc("evidence"), "feature").limit(LEXICON).collect()}
+    good = counts.select("feature", odds.alias("odds"), evidence.alias("evidence"), p.alias("p")).filter((F.col("evidence") > math.log(tested) + 3) & (F.col("p") >= PURE))
+    return {f: min(4.0, o) for f, o, *_ in good.orderBy(F.desc("evidence"), "feature").limit(LEXICON).collect()}
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -227,7 +235,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
 
     rows = sample.mapInArrow(features, "toxic int, x array<double>").collect()  # SAMPLE rows at most
-    if not lexicon or not rows:
+    if not rows or len({r.toxic > 0 for r in rows}) < 2:
         return first
     return Model(lexicon, _fit(np.array([r.x for r in rows]), np.array([float(r.toxic > 0) for r in rows])))
 
