@@ -74,7 +74,7 @@ def format_bytes(n: Column) -> Column:
 def code_point(n: Column) -> Column:
     """The character of a code point; empty if there is none."""
     valid = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32BE")).otherwise("")
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("")
 
 
 def like_source(label: Column, pattern: Column) -> Column:

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import like_source, substring_count, tokens
+from lodestone.operators.fuzzy import correct
 from lodestone.operators.stem import stem_tokens
+from lodestone.sources.shared import stored
 
 K1, B, TITLE_WEIGHT, CONTENT_WEIGHT, LEAST_IDF = 1.2, 0.75, 2.0, 1.0, 1e-6
 CHUNK = ["source_id", "chunk_ord"]
@@ -56,8 +58,11 @@ def corpus(lengths: DataFrame) -> DataFrame:
 def phrase_hits(chunks: DataFrame, queries: DataFrame, stemmed: bool = False) -> DataFrame:
     """query_id, phrase, source_id, chunk_ord, weighted: the weighted count of a phrase's occurrences in a chunk."""
     wanted, posted = query_phrases(queries), postings(chunks)
-    if stemmed:
-        wanted, posted = stem_tokens(wanted), stem_tokens(posted)
+    if stemmed:  # of all tokens, only those with a stem that some query has are kept
+        wanted = stem_tokens(wanted)
+        kin = stem_tokens(posted.select("token").distinct().withColumn("stem", F.col("token")), "stem")
+        kin = kin.join(wanted.select(F.col("token").alias("stem")).distinct(), "stem", "left_semi")
+        posted = posted.join(kin, "token").drop("token").withColumnRenamed("stem", "token")
     met = posted.join(wanted, "token").withColumn("start", F.col("pos") - F.col("offset"))
     one = met.filter("phrase_len = 1").select("query_id", "phrase", *CHUNK, "field", "start")
     longer = met.filter("phrase_len > 1").groupBy("query_id", "phrase", *CHUNK, "field", "start", "phrase_len").agg(F.count(F.lit(1)).alias("n")).filter("n = phrase_len")
@@ -120,15 +125,15 @@ def substring_search(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 def cascade(chunks: DataFrame, queries: DataFrame, vocabulary: DataFrame, stemmed: bool = True) -> DataFrame:
     """Words first; for queries without a hit substrings; for those without one either, words of the corrected query.
 
-    The source filter takes part in "without a hit". Adds ``layer`` and ``corrected``.
+    The source filter takes part in "without a hit". Adds ``layer`` and ``corrected``. Each layer's hits, k for each
+    query at most, are written to the shared folder, as the next layers ask which queries have none.
     """
-    from lodestone.operators.fuzzy import correct
-
-    first = word_search(chunks, queries, stemmed)
+    queries = stored(queries, "queries")
+    first = stored(word_search(chunks, queries, stemmed), "words")
     left = queries.join(first.select("query_id").distinct(), "query_id", "left_anti")
-    second = substring_search(chunks, left)
+    second = stored(substring_search(chunks, left), "substrings")
     left = left.join(second.select("query_id").distinct(), "query_id", "left_anti")
-    corrected = correct(left, vocabulary)
+    corrected = stored(correct(left, vocabulary), "corrected")
     again = left.drop("query").join(corrected, "query_id").withColumnRenamed("corrected", "query")
     third = word_search(chunks, again, stemmed).join(corrected, "query_id")
     none = F.lit(None).cast("string")

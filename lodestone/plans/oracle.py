@@ -121,13 +121,6 @@ ORACLE_SQL: dict[str, str] = {
       words AS (SELECT query_id, i - 1 AS phrase, lower(ws[i]) AS word FROM (SELECT query_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT query_id, {_sanitized('query')} AS ws FROM queries)) WHERE length(ws[i]) >= 3),
       low AS (SELECT source_id, chunk_ord, lower(title) AS t, lower(content) AS c FROM chunks), lengths AS (SELECT source_id, chunk_ord, greatest(length(t) - 2, 0) + greatest(length(c) - 2, 0) AS dl FROM low),
       hits AS (SELECT query_id, phrase, source_id, chunk_ord, 2.0 * len(list_filter(range(1, length(t) + 1), lambda i: substr(t, i, length(word)) = word)) + len(list_filter(range(1, length(c) + 1), lambda i: substr(c, i, length(word)) = word)) AS weighted FROM low JOIN words ON contains(t, word) OR contains(c, word)), {_SCORES} {_top()}""",
-    "fuzzy_correct": f"""WITH {_queries(3)}, q AS (SELECT query_id, array_to_string(list_transform(string_split(query, ' '), lambda w: CASE WHEN length(w) >= 4 THEN substr(w, 1, 2) || 'q' || substr(w, 3) ELSE w END), ' ') AS query FROM queries),
-      w AS (SELECT query_id, i, ws[i] AS w FROM (SELECT query_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT query_id, regexp_split_to_array(query, '\\s+') AS ws FROM q)) WHERE length(ws[i]) >= 3),
-      b AS (SELECT *, CASE WHEN length(w) <= 4 THEN 1 WHEN length(w) <= 12 THEN 2 ELSE 3 END AS bound FROM w),
-      v AS (SELECT word, min({{'d': doc_id, 'p': p}}) AS seen FROM (SELECT doc_id, w[i] AS word, i - 1 AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents))) GROUP BY word),
-      u AS (SELECT DISTINCT w, bound FROM b), c AS (SELECT w, bound, word, seen FROM u JOIN v ON length(word) BETWEEN length(w) - bound AND length(w) + bound QUALIFY row_number() OVER (PARTITION BY w ORDER BY seen) <= 500),
-      n AS (SELECT w, word FROM c WHERE levenshtein(lower(w), lower(word)) <= bound QUALIFY row_number() OVER (PARTITION BY w ORDER BY levenshtein(lower(w), lower(word)), seen) = 1)
-      SELECT query_id, string_agg(coalesce(word, w), ' ' ORDER BY i) AS corrected FROM b LEFT JOIN n USING (w) GROUP BY query_id HAVING bool_or(coalesce(word, w) <> w)""",
     "vocabulary": f"SELECT word, min({{'d': doc_id, 'p': p}}).d AS first_doc, min({{'d': doc_id, 'p': p}}).p AS first_pos FROM (SELECT doc_id, w[i] AS word, i - 1 AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents))) GROUP BY word",
     "doc_freq": f"WITH {_DOCS} SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct({_WORDS.format('content')})) AS word FROM chunks) GROUP BY word",
     "distinctive_terms": f"""WITH {_DOCS}, each AS (SELECT source_id, chunk_ord, w[i] AS word, i AS p FROM (SELECT source_id, chunk_ord, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT source_id, chunk_ord, {_WORDS.format('content')} AS w FROM chunks))),
