@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import identified, small_batches, stored
+from lodestone.llm._common import identified, small_batches, stored, tidy
 from lodestone.llm._rolling import BYTE_IMAGE, U, Prefix, mix, text_bytes, word_symbols, words_of
 
 #: Symbols handled at once; longer texts are cut into overlapping slices.
@@ -238,7 +238,7 @@ def repeated_windows(docs: DataFrame, spec: Spec) -> DataFrame:
     """Per row identity, ``spans``: the runs (start, n) of window starts whose window also starts anywhere else."""
     small_batches(docs.sparkSession)
     rows = identified(docs).select("rid", "rth", "text")
-    units = rows.mapInArrow(_emit_units(spec), UNITS)
+    units = rows.mapInArrow(tidy(_emit_units(spec)), UNITS)
     # Computing units again costs less than keeping those, most of them, whose anchor occurs once.
     common = units.groupBy("key").agg(F.count(F.lit(1)).alias("total")).filter("total > 1").select("key")
     units = stored(units.join(common, "key", "left_semi"), "units")
@@ -253,9 +253,9 @@ def repeated_windows(docs: DataFrame, spec: Spec) -> DataFrame:
         .agg(F.collect_list("unit").alias("units"))
     )
     # One row for each text: rows that are equal in id and text give the same symbols.
-    texts = rows.join(unsure.hint("shuffle_hash"), ["rid", "rth"]).mapInArrow(_emit_open(spec), OPEN)
+    texts = rows.join(unsure.hint("shuffle_hash"), ["rid", "rth"]).mapInArrow(tidy(_emit_open(spec)), OPEN)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = texts.repartition(parts, "deal").sortWithinPartitions("deal").mapInArrow(_resolve(spec), SPANS)
+    edges = texts.repartition(parts, "deal").sortWithinPartitions("deal").mapInArrow(tidy(_resolve(spec)), SPANS)
     return whole.unionByName(edges).groupBy("rid", "rth").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 

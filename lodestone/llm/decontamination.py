@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import small_batches
+from lodestone.llm._common import small_batches, tidy
 
 RATE = 0.08
 BLOCK_CHARS = 4_000_000
@@ -157,7 +157,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
 
         return run
 
-    found = [slim.mapInArrow(search(b), LEAKS) for b in _broadcasts(docs, benchmark)]
+    found = [slim.mapInArrow(tidy(search(b)), LEAKS) for b in _broadcasts(docs, benchmark)]
     if not found:
         return slim.limit(0).selectExpr("doc_id", "0L AS item_id", "0L AS distance", "0L AS end")
     out = found[0]
@@ -180,5 +180,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
 
     at = [c.lower() for c in docs.columns].index("text")
     for block in _broadcasts(docs, benchmark):
-        docs = docs.mapInArrow(keep(block), docs.schema)
+        docs = docs.mapInArrow(tidy(keep(block)), docs.schema)
     return docs

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import small_batches
+from lodestone.llm._common import small_batches, tidy
 
 SAMPLE = 120
 PART = 400
@@ -170,6 +170,14 @@ class Parser:
 _PARSERS: dict[str, Parser] = {}
 
 
+def _parser(name: str, samples: list[tuple[str, str]]) -> Parser:
+    """The worker's parser for one run, built once. A function of the module, since what a stage's own code refers to is copied for each task."""
+    if name not in _PARSERS:
+        _PARSERS.clear()
+        _PARSERS[name] = Parser(samples)
+    return _PARSERS[name]
+
+
 def held_out():
     """crc32 of the doc_id as text leaves 2 modulo 4."""
     return F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 4 == 2
@@ -196,14 +204,12 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]] | None = None) -> D
     shared, name = spark.sparkContext.broadcast(samples), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _PARSERS:
-            _PARSERS.clear()
-            _PARSERS[name] = Parser(shared.value)
+        parser = _parser(name, shared.value)
         held: list[pa.RecordBatch] = []
 
         def answer() -> pa.RecordBatch:
             batch = pa.Table.from_batches(held).combine_chunks()
-            found = _PARSERS[name].predict(batch.column("text").to_pylist())
+            found = parser.predict(batch.column("text").to_pylist())
             columns = [batch.column(c).combine_chunks() for c in ("doc_id", "held_out")]
             return pa.RecordBatch.from_arrays([*columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -216,4 +222,4 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]] | None = None) -> D
             yield answer()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out())
-    return slim.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return slim.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")

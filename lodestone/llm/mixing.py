@@ -116,7 +116,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 150,
     # A mass of all the words, by rounding error, is a copy as well.
     extra = F.when(F.coalesce("full", F.col("mass") >= F.col("size")) & (F.col("size") > 0), 1).otherwise(0)
     copies = F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(0).cast("int")
-    out = rated.join(decided, "uid", "left").withColumn("copies", copies)
+    # What is decided grows with the documents, so it must not be broadcast on a low estimate.
+    out = rated.join(decided.hint("merge"), "uid", "left").withColumn("copies", copies)
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "rth")
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import identified, small_batches, stored
+from lodestone.llm._common import identified, small_batches, stored, tidy
 from lodestone.llm._repeats import row_words
 from lodestone.llm._rolling import U, Prefix, mix, text_bytes, word_symbols
 from lodestone.llm.components import connected
@@ -120,7 +120,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _candidates(nodes: DataFrame) -> DataFrame:
     """Links (a, b) to be confirmed, of nodes that share a key."""
-    keys = nodes.mapInArrow(_keys, "key long, v long, sketch long")
+    keys = nodes.mapInArrow(tidy(_keys), "key long, v long, sketch long")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("hub")).filter("n > 1")
     members = stored(keys.join(shared, "key"), "members")
     crowded = members.filter(f"n > {CROWD}").select(F.col("v").alias("a"), F.col("hub").alias("b"))
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     spark = docs.sparkSession
     small_batches(spark)
     rows = identified(docs)
-    signed = stored(rows.select("rid", "rth", "doc_id", "text").mapInArrow(_sign(shingle, chunks_for(percent) * CHUNK), SIGNED), "signed")
+    signed = stored(rows.select("rid", "rth", "doc_id", "text").mapInArrow(tidy(_sign(shingle, chunks_for(percent) * CHUNK)), SIGNED), "signed")
     full = signed.filter("n_shingles > 0")
     nodes = full.groupBy("v").agg(F.min(F.struct("rid", "rth", "n_shingles")).alias("row"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
     clusters = stored(connected(_candidates(nodes.select("v", "sig"))), "clusters")
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.select("v", "root", "block", "text", other.alias("other")).select("v", "root", "block", "text", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    confirmed = dealt.repartition(parts, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(_confirm(shingle, percent), "a long, b long")
+    confirmed = dealt.repartition(parts, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(tidy(_confirm(shingle, percent)), "a long, b long")
     roots = connected(confirmed)
     least = full.groupBy("v").agg(F.min("doc_id").alias("least")).join(roots, "v", "left").select("v", "least", F.coalesce("root", "v").alias("root"))
     least = stored(least, "roots")

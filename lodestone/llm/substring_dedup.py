@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestone.llm._common import tidy
 from lodestone.llm._repeats import Spec, covered, row_words, with_spans
 from lodestone.llm._rolling import text_bytes
 
@@ -65,4 +66,4 @@ def remove_repeated_words(docs: DataFrame, window: int = 35, keep_text: bool = F
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string, removed array<struct<start:long,end:long>>" * keep_text
-    return with_spans(docs, spec).mapInArrow(run, schema)
+    return with_spans(docs, spec).mapInArrow(tidy(run), schema)

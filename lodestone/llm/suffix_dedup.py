@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestone.llm._common import tidy
 from lodestone.llm._repeats import Spec, covered, with_spans
 from lodestone.llm._rolling import text_bytes
 
@@ -60,4 +61,4 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 400, keep_text: bool =
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, removed array<struct<start:long,end:long>>" * keep_text
-    return with_spans(docs, spec).mapInArrow(run, schema)
+    return with_spans(docs, spec).mapInArrow(tidy(run), schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import small_batches, stored
+from lodestone.llm._common import small_batches, stored, tidy
 
 #: Labelled rows to learn from, at most.
 SAMPLE = 20_000
@@ -234,7 +234,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
             x = [first.kinds(t).tolist() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
 
-    rows = sample.mapInArrow(features, "toxic int, x array<double>").collect()  # SAMPLE rows at most
+    rows = sample.mapInArrow(tidy(features), "toxic int, x array<double>").collect()  # SAMPLE rows at most
     if not rows or len({r.toxic > 0 for r in rows}) < 2:
         return first
     return Model(lexicon, _fit(np.array([r.x for r in rows]), np.array([float(r.toxic > 0) for r in rows])))
@@ -251,7 +251,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out())
-    return slim.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return slim.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -264,4 +264,4 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([shared.value.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
