@@ -21,14 +21,14 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import scratch_path, small_batches
-from lodestone.llm._repeats import row_words
+from lodestone.llm._common import scratch_path, small_batches, tidy
 from lodestone.llm._rolling import text_bytes
 
 SHARD_IDS = 1 << 19
@@ -39,13 +39,20 @@ MAGIC = b"LRP1"
 REMEMBERED = 400_000
 
 
+#: Kind of a byte: 0 white space, 1 letter (or part of one), 2 digit, 3 punctuation, 4 what needs the full tokenizer.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = 1
+_KIND[48:58] = 2
+_KIND[[*range(0, 32), 127, ord("'"), ord("<")]] = 4
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+
+
 class WordTokenizer:
     """A tokenizer that splits at white space first, with the ids of words remembered.
 
     Words of plain Latin letters, with ASCII punctuation before or after, go to the bare BPE model in one call for a
     whole batch; for these the normaliser and pre-tokeniser only lower the case, part letters from punctuation and
-    map bytes, which is done here. All others take the full tokenizer. Words are cut at ASCII white space and keep
-    what follows them up to the next word, so that they lie in the text without gaps.
+    map bytes, which is done here. All others take the full tokenizer.
     """
 
     _plain = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([!-/:-@\[-`{-~]*)")
@@ -120,22 +127,23 @@ class WordTokenizer:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: empty), with the end id after each, and the number of ids of each text."""
         raw, offsets = text_bytes(texts)
-        starts, ends, cuts = row_words(raw, offsets)
+        raw, starts, cuts = _segments(raw, offsets)
         lengths = np.ones(len(texts), np.int64)
         if not len(starts):
             return np.full(len(texts), END_ID, np.uint16), lengths
         if len(self.index) > REMEMBERED:
             self._forget()
-        edges = np.append(starts, ends[-1])
-        # A text's last word ends with the text; white space before the next text's first word goes with it.
-        joined = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(raw)).dictionary_encode()
+        # White space goes with the segment before it, so segments lie in the buffer without gaps.
+        edges = np.append(starts, len(raw)).astype(np.int64)
+        joined = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(edges), pa.py_buffer(raw)).dictionary_encode()
         words = joined.dictionary.to_pylist()
         index = self.index
-        fresh = [w for w in words if w not in index]
-        if fresh:
-            index.update(zip(fresh, range(len(index), len(index) + len(fresh)), strict=True))
+        number = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(number < 0)):
+            number[new] = len(index) + np.arange(len(new))
+            fresh = [words[i] for i in new.tolist()]
+            index.update(zip(fresh, number[new].tolist(), strict=True))
             self._learn(fresh)
-        number = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
         which = joined.indices.to_numpy()
         self.uses[number] += np.bincount(which, minlength=len(words))
         number = number[which]
@@ -146,6 +154,36 @@ class WordTokenizer:
         return np.insert(ids, bounds[1:], END_ID), lengths + np.diff(bounds)
 
 
+def _segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes, where segments begin, and the first segment of each text.
+
+    A text of ASCII and Latin-1 letters without apostrophes, angle brackets and control characters is put in lower
+    case and cut where letters, digits and punctuation meet, as the pre-tokeniser would do; any other text only after white space.
+    """
+    if not len(raw):
+        return raw, np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    kind = _KIND[raw]
+    odd = kind == 4
+    high = raw >= 0x80
+    if high.any():
+        lead = raw == 0xC3
+        after = np.concatenate(([False], lead[:-1]))
+        odd |= high & ~lead & ~(after & (raw != 0x97) & (raw != 0xB7))
+    else:
+        after = None
+    seen = np.concatenate(([0], np.cumsum(odd)))
+    simple = np.repeat(seen[offsets[1:]] == seen[offsets[:-1]], np.diff(offsets))
+    upper = (raw >= 65) & (raw <= 90)
+    if after is not None:
+        upper |= after & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)
+    raw = raw + ((upper & simple) * 32).astype(np.uint8)
+    before = np.concatenate((np.zeros(1, np.uint8), kind[:-1]))
+    begins = (before == 0) | (simple & (kind != before))
+    begins[offsets[:-1][offsets[:-1] < len(raw)]] = True
+    starts = np.flatnonzero(begins & (kind != 0))
+    return raw, starts, np.searchsorted(starts, offsets)
+
+
 def compress(ids: np.ndarray, terminals: int, rounds: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over one shard: rules (pairs), their expansion lengths, and the remaining symbols."""
     seq = ids.astype(np.uint32)
@@ -161,20 +199,19 @@ def compress(ids: np.ndarray, terminals: int, rounds: int, min_count: int = MIN_
         often = np.bincount(slot, minlength=1 << 20) >= min_count
         place = np.flatnonzero(often[slot] & (seq[:-1] != END_ID) & (seq[1:] != END_ID))
         found, back, times = np.unique(pair[place], return_inverse=True, return_counts=True)
-        rank = np.empty(len(found), np.int64)
         order = np.lexsort((found, -times))
-        rank[order] = np.arange(len(found))
-        kept = min(room, int((times >= min_count).sum()))
-        if not kept:
+        order = order[: min(room, int((times >= min_count).sum()))]
+        if not len(order):
             break
+        rank = np.full(len(found), len(order), np.int64)
+        rank[order] = np.arange(len(order))
         # A place is replaced if no overlapping pair ranks before its own; of equal pairs in a row, the first.
-        ranks = np.full(len(pair) + 2, len(found), np.int64)
+        ranks = np.full(len(pair) + 2, len(order), np.int64)
         ranks[place + 1] = rank[back]
-        ranks[ranks >= kept] = len(found)
         mid = ranks[1:-1]
-        at = np.flatnonzero((mid < len(found)) & (mid < ranks[:-2]) & (mid <= ranks[2:]))
+        at = np.flatnonzero((mid < len(order)) & (mid < ranks[:-2]) & (mid <= ranks[2:]))
         used = np.unique(mid[at])
-        name = np.zeros(len(found) + 1, np.int64)
+        name = np.zeros(len(order), np.int64)
         name[used] = len(lengths) + np.arange(len(used))
         pairs = found[order[used]]
         rules.append(np.stack((pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)), axis=1).astype(np.uint16))
@@ -246,6 +283,26 @@ class Shard:
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
+def _tokenizer(path: str) -> WordTokenizer:
+    """The worker's tokenizer. A function of the module, since what a stage's own code refers to is copied for each task."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
+
+
+def _merged(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[pa.Table]:
+    """Batches joined to tables of about ``size`` bytes."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def write_shards(docs: DataFrame, path: str, tokenizer: str, rounds: int = 4) -> None:
     """Tokenise ``docs`` (doc_id, text) and write the shards to ``path``; ``tokenizer`` is a file on every node."""
     spark = docs.sparkSession
@@ -255,7 +312,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, rounds: int = 4) ->
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        coder = _TOKENIZERS.get(tokenizer) or _TOKENIZERS.setdefault(tokenizer, WordTokenizer(tokenizer))
+        coder = _tokenizer(tokenizer)
         seq, ids, per_doc, names, held = 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -264,7 +321,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, rounds: int = 4) ->
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "n_docs": [len(names)], "n_ids": [len(all_ids)], "body": [body]}, schema=kind)
 
         kind = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("body", pa.binary())])
-        for batch in batches:
+        for batch in _merged(batches):
             got, counts = coder.encode(batch.column("text"))
             ids.append(got)
             per_doc.append(counts)
@@ -278,7 +335,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, rounds: int = 4) ->
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "part int, seq int, n_docs long, n_ids long, body binary").write.mode("overwrite").parquet(path)
+    ordered.mapInArrow(tidy(run), "part int, seq int, n_docs long, n_ids long, body binary").write.mode("overwrite").parquet(path)
 
 
 def _described(bodies: Iterable[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +362,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("before_part", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
     inside = Window.partitionBy("part").orderBy("seq")
     first = shards.select("part", "seq", "n_ids").withColumn("before", F.sum("n_ids").over(inside) - F.col("n_ids")).join(parts.select("part", "before_part"), "part")
-    found = shards.select("part", "seq", "body").mapInArrow(run, "part int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    found = shards.select("part", "seq", "body").mapInArrow(tidy(run), "part int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 long")
     start = F.col("before_part") + F.col("before") + F.col("inner")
     return found.join(first, ["part", "seq"]).select("doc_id", start.alias("start"), "n_tokens", "ids_crc32")
 
