@@ -42,11 +42,14 @@ def _accents() -> tuple[str, str]:
 
 
 _FROM, _TO = _accents()
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
 
 
 def fold(text: Column) -> Column:
     """Lower case without diacritics of single-diacritic Latin letters or combining marks."""
-    return F.translate(F.lower(F.regexp_replace(text, "[\\u0300-\\u036F]", "")), _FROM.lower(), _TO.lower())
+    low = F.lower(text)
+    # Combining marks come after the letters and have no counterpart, so they go. ASCII texts need none of it.
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.translate(low, _FROM.lower() + _MARKS, _TO.lower()))
 
 
 def tokens(text: Column) -> Column:
@@ -85,5 +88,15 @@ def like_source(label: Column, pattern: Column) -> Column:
 
 
 def substring_count(text: Column, word: Column) -> Column:
-    """Occurrences of a word in a text, overlapping ones too."""
+    """Occurrences of a word in a text, overlapping ones too.
+
+    Only a word that begins as it ends can overlap itself; others are counted by what their removal takes away.
+    """
+    n = F.char_length(word)
+    borders = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: (k < n) & (F.substring(word, F.lit(1), k) == F.right(word, k)))
+    apart = ((F.octet_length(text) - F.octet_length(F.replace(text, word, F.lit("")))) / F.octet_length(word)).cast("int")
+    return F.when(~borders, apart).otherwise(_overlapping(text, word))
+
+
+def _overlapping(text: Column, word: Column) -> Column:
     return F.regexp_count(text, F.concat(F.lit("(?=\\Q"), F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)")))

@@ -32,6 +32,8 @@ def correct(queries: DataFrame, words: DataFrame, candidates: int | None = 500)
     n = F.char_length("w")
     spread = wanted.select("w", "bound", F.explode(F.sequence(n - F.col("bound"), n + F.col("bound"))).alias("size")).distinct()
     sized = words.withColumn("size", F.char_length("word"))
+    if candidates is not None:  # the first of a band of lengths are among the first of each length
+        sized = sized.withColumn("nth", F.row_number().over(Window.partitionBy("size").orderBy("first_doc", "first_pos"))).filter(F.col("nth") <= candidates).drop("nth")
     met = spread.join(sized, "size")
     if candidates is not None:
         met = met.withColumn("nth", F.row_number().over(Window.partitionBy("w").orderBy("first_doc", "first_pos"))).filter(F.col("nth") <= candidates)

@@ -70,20 +70,28 @@ def throttle(calls: DataFrame, window_ms: int = 60_000, reduce_after: int = 3, b
     return counted.withColumns({"allowed": allowed, "notice": notice}).drop("ms")
 
 
-def suggestions(calls: DataFrame, n_sources: int | Column, n_chunks: int | Column) -> DataFrame:
-    """One row: which usage hints apply, from call counts by tool and the size of the store."""
+def tool_counts(calls: DataFrame) -> DataFrame:
+    """One row: all calls, and those of the tools that the hints look at."""
     of = lambda t: F.coalesce(F.sum((F.col("tool") == t).cast("long")), F.lit(0))
-    total = calls.agg(F.count(F.lit(1)).alias("n"), of("search").alias("search"), of("execute").alias("execute"), of("batch_execute").alias("batch"))
-    sources, chunks = (F.lit(x) if isinstance(x, int) else x for x in (n_sources, n_chunks))
+    return calls.agg(F.count(F.lit(1)).alias("n"), of("search").alias("search"), of("execute").alias("execute"), of("batch_execute").alias("batch"))
+
+
+def hint_list(n_sources: Column, n_chunks: Column) -> Column:
+    """The usage hints that apply to a row of ``tool_counts`` and the size of the store."""
     some = F.col("n") > 0
     rules = [
         (~some, "start with a batch"),
         (some & (F.col("execute") > 3) & (F.col("batch") == 0), "batch commands"),
         (some & (F.col("search") > 5), "batch searches"),
-        (some & (chunks > 50), "filter by source"),
-        (some & (sources == 0) & (F.col("n") > 2), "index more"),
+        (some & (n_chunks > 50), "filter by source"),
+        (some & (n_sources == 0) & (F.col("n") > 2), "index more"),
     ]
-    return total.select(F.array_compact(F.array(*[F.when(rule, F.lit(name)) for rule, name in rules])).alias("hints"))
+    return F.array_compact(F.array(*[F.when(rule, F.lit(name)) for rule, name in rules]))
+
+
+def suggestions(calls: DataFrame, n_sources: int, n_chunks: int) -> DataFrame:
+    """One row: the usage hints that apply."""
+    return tool_counts(calls).select(hint_list(F.lit(n_sources), F.lit(n_chunks)).alias("hints"))
 
 
 def inventory(outputs: DataFrame) -> DataFrame:

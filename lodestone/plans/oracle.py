@@ -160,6 +160,10 @@ ORACLE_SQL: dict[str, str] = {
     "throttle": f"""WITH {_LOG}, c AS (SELECT call_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) RANGE BETWEEN 21600000 PRECEDING AND CURRENT ROW) - row_number() OVER (PARTITION BY user_id, epoch_ms(ts) ORDER BY call_id DESC) + 1 AS n FROM calls)
       SELECT call_id, user_id, n AS calls_in_window, CASE WHEN n > 8 THEN 0 WHEN n > 3 THEN 1 ELSE 3 END AS allowed, CASE WHEN n > 8 THEN 'blocked' WHEN n > 3 THEN 'reduced' END AS notice FROM c""",
     "discover_stats": f"WITH {_DOCS} SELECT label, count(*) AS chunks, count(DISTINCT source_id) AS docs, CAST(0 AS BIGINT) AS code_chunks, '- **' || label || '** — ' || count(*) || ' chunks' AS line FROM chunks GROUP BY label",
+    "batch_text": "SELECT conv_id AS batch_id, string_agg('## ' || role || chr(10) || chr(10) || CASE WHEN coalesce(text, '') = '' THEN '(no output)' ELSE text END || chr(10) || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
+    "scoped_search": f"""WITH {_DOCS}, {_queries(3)}, {_PHRASES}, {_LENGTHS}, {_SCORES}, named AS (SELECT * FROM scores JOIN chunks USING (source_id, chunk_ord)), inside AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, source_id, chunk_ord) AS rank FROM named WHERE label ILIKE '%src12%'),
+      rest AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, source_id, chunk_ord) AS rank FROM named WHERE query_id NOT IN (SELECT query_id FROM inside)), both_ AS (SELECT * FROM inside UNION ALL SELECT * FROM rest)
+      SELECT query_id, rank, source_id, chunk_ord, title, label, CAST(round(score, 6) AS DOUBLE) AS score FROM both_ WHERE rank <= 5""",
     "output_inventory": "SELECT conv_id || '/' || turn AS label, len(string_split(CASE WHEN coalesce(text, '') = '' THEN '(no output)' ELSE text END, chr(10))) AS line_count FROM conversations",
     "stream_tool_stats": f"WITH {_LOG} SELECT tool, count(*) AS calls, CAST(sum(bytes_returned) AS BIGINT) AS bytes_returned FROM calls GROUP BY tool",
     "exec_map": "SELECT r_regionkey AS job_id, lower(r_name) || chr(10) AS text FROM region",

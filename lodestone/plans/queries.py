@@ -13,6 +13,7 @@ from lodestone.operators import compact as co
 from lodestone.operators import fuzzy as fz
 from lodestone.operators import html as ht
 from lodestone.operators import predicates as pr
+from lodestone.operators import report as re_
 from lodestone.operators import search as se
 from lodestone.operators import session as ss
 from lodestone.operators import snippet as sn
@@ -301,6 +302,33 @@ def usage_hints(spark: SparkSession, folder: str) -> DataFrame:
     return ss.suggestions(calls, 1, 51).select(F.array_join("hints", "; ").alias("hints"))
 
 
+@query
+def discover_report(spark: SparkSession, folder: str) -> DataFrame:
+    calls = call_log(spark, folder).withColumn("tool", F.when(F.col("tool") == "view", "search").otherwise("execute"))
+    found = re_.discovery(doc_chunks(spark, folder), calls, fz.vocabulary(table(spark, folder, "documents")))
+    return found.withColumn("hints", F.array_join("hints", "; "))
+
+
+@query
+def intent_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as outputs; the intent is each one's third word and its source."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text", F.coalesce(F.get(F.split("text", r"\s+"), F.lit(2)), F.lit("")).alias("intent"))
+    return re_.intent_filter(docs, 5_000)
+
+
+@query
+def batch_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as batches: turns as sections."""
+    turns = table(spark, folder, "conversations").select(F.col("conv_id").alias("batch_id"), F.col("turn").alias("ord"), F.col("role").alias("label"), F.col("text").alias("output"))
+    return re_.batch_text(turns)
+
+
+@query
+def scoped_search(spark: SparkSession, folder: str) -> DataFrame:
+    found = re_.scoped_search(doc_chunks(spark, folder), benchmark_queries(spark, folder), "src12", stemmed=False)
+    return ranked(found)
+
+
 @query
 def output_inventory(spark: SparkSession, folder: str) -> DataFrame:
     outputs = table(spark, folder, "conversations").select(F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("label"), F.col("text").alias("output"))
