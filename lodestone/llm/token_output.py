@@ -36,7 +36,7 @@ MIN_COUNT = 24
 END_ID = 1
 MAGIC = b"LRP1"
 #: Words that a worker remembers the ids of, at most.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 #: Kind of a byte: 0 white space, 1 letter (or part of one), 2 digit, 3 punctuation, 4 what needs the full tokenizer.
@@ -290,7 +290,7 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-def _merged(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[pa.Table]:
+def _merged(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[pa.Table]:
     """Batches joined to tables of about ``size`` bytes."""
     held, n = [], 0
     for batch in batches:
