@@ -239,11 +239,11 @@ def repeated_windows(docs: DataFrame, spec: Spec) -> DataFrame:
     small_batches(docs.sparkSession)
     rows = identified(docs).select("rid", "rth", "text")
     units = rows.mapInArrow(tidy(_emit_units(spec)), UNITS)
-    # Computing units again costs less than keeping those, most of them, whose anchor occurs once.
-    common = units.groupBy("key").agg(F.count(F.lit(1)).alias("total")).filter("total > 1").select("key")
+    # Computing units again costs less than keeping those, most of them, whose anchor occurs once. Counts are written before they are joined: Spark splits a skewed join only if both sides come straight from a shuffle.
+    common = stored(units.groupBy("key").agg(F.count(F.lit(1)).alias("total")).filter("total > 1").select("key"), "anchors")
     units = stored(units.join(common, "key", "left_semi"), "units")
     variants = units.groupBy("key", "entry").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("rid", "rth", "start", "n")).alias("first"))
-    keys = variants.groupBy("key").agg(F.count(F.lit(1)).alias("variants"))
+    keys = stored(variants.groupBy("key").agg(F.count(F.lit(1)).alias("variants")), "anchors")
     seen = stored(variants.join(keys, "key"), "variants")
     whole = units.join(seen.filter("times > 1").select("key", "entry"), ["key", "entry"], "left_semi").select("rid", "rth", "start", "n")
     unsure = (

@@ -121,7 +121,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _candidates(nodes: DataFrame) -> DataFrame:
     """Links (a, b) to be confirmed, of nodes that share a key."""
     keys = nodes.mapInArrow(tidy(_keys), "key long, v long, sketch long")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("hub")).filter("n > 1")
+    # Written before it is joined: Spark splits a skewed join only if both sides come straight from a shuffle.
+    shared = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("hub")).filter("n > 1"), "keys")
     members = stored(keys.join(shared, "key"), "members")
     crowded = members.filter(f"n > {CROWD}").select(F.col("v").alias("a"), F.col("hub").alias("b"))
     few = members.filter(f"n <= {CROWD}").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("v", "sketch"))).alias("m"))
