@@ -178,9 +178,8 @@ class Model:
 def _lexicon(sample: DataFrame) -> dict[str, float]:
     """Words and beginnings that stand in toxic texts beyond chance."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))
-    # Copies of one text are one witness: of rows with the same least word hash, mostly copies, one stays.
-    least = F.array_min(F.transform(F.filter("w", lambda x: F.char_length(x) > 4), lambda x: F.xxhash64(x)))
-    sample = stored(sample.select("toxic", words.alias("w")).withColumn("least", least).groupBy("least").agg(F.min(F.struct("toxic", "w")).alias("r")).select("r.*"), "witnesses")
+    # Copies of one text are one witness: of rows with one label and the same set of words one stays, of others all.
+    sample = stored(sample.select("toxic", F.array_sort(words).alias("w")).distinct(), "witnesses")
     n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic or toxic == n:
         return {}

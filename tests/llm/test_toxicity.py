@@ -84,6 +84,19 @@ def test_learning(spark):
     assert left.columns == frame.columns and left.count() == sum(1 - g.predicted for g in got)
 
 
+def test_only_copies_are_merged(spark):
+    r = random.Random(6)
+    common = ["amber", "basil", "cedar", "delta", "ember", "fjord", "grove", "hazel", "inlet", "jetty", "knoll", "larch"]
+    rows = []
+    for i in range(400):
+        words = r.sample(common, r.randint(4, 8)) + (["zonko"] if i % 4 == 0 else [])
+        r.shuffle(words)
+        rows.append((" ".join(words), int(i % 4 == 0)))
+    rows += [("Mauve shard plinth, zither.", 1), ("zither plinth shard mauve", 1)] * 30  # copies are one witness
+    lexicon = m._lexicon(spark.createDataFrame(rows, "text string, toxic int").repartition(4))
+    assert "zonko" in lexicon and not set(lexicon) & {"mauve", "shard", "plinth", "zither", *common}
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     model = m.learn(none, spark.createDataFrame([], "doc_id long, toxic int"))
