@@ -4,13 +4,15 @@ For each language a suffix automaton of labelled text accepts all of its substri
 each phrase is the longest match that starts where the last one ended. The fewer phrases, weighted by the logarithm of the
 reference's length, the lower the cross entropy; the language with the least wins.
 
-All automata lie in one dense table: row by state, column by symbol, entry the next state with a flag for "a phrase ended
-here" (where a match can't go on, the entry is that of the start state). So a step for thousands of text pieces and
-all languages is one array lookup. Texts are parsed whole, in pieces of ``PIECE`` symbols; a cut adds one phrase at
-most, to every language alike. Symbols are letters in lower case; runs of anything else are one blank.
+Every letter of a reference, of whatever script, has a symbol; symbols are letters in lower case, and runs of anything
+else are one blank. A letter that a language's reference lacks is a phrase of its own there. The transitions of an automaton
+are kept sparse, in one array by row displacement: a state is an offset, and the entry at offset + symbol names the state
+it belongs to and the next one (where it belongs to another, a phrase ended and the start's move is taken). So a step for
+thousands of text pieces is one array lookup. Texts are parsed whole, in pieces of ``PIECE`` symbols; a cut adds one
+phrase at most, to every language alike.
 
 Learned from at most ``SAMPLE`` rows for each language (least hash first), of each a part of ``PART`` characters from
-its middle on (of a text that short, all); at most ``LANGUAGES`` languages, the most frequent; references share ``SYMBOLS`` symbols, so the table is bounded.
+its middle on (of a text that short, all). All languages that have a labelled row are learned.
 
 Defined cases: null text or text without letter is ``und`` with score 0, and so is every text if nothing is labelled.
 A null lang teaches nothing. Ties go to the first language by name. Repeated or null doc_ids keep their rows
@@ -20,7 +22,6 @@ A null lang teaches nothing. Ties go to the first language by name. Repeated or
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +33,12 @@ from lodestone.llm._common import small_batches, tidy
 
 SAMPLE = 120
 PART = 400
-LANGUAGES = 64
-SYMBOLS = 160_000
-LETTERS = 46
 PIECE = 512
 #: Symbols parsed at once.
 AT_ONCE = 1 << 21
 _BLANK, _RARE = 0, 1
+#: Offsets tried for a state before it is put at the end.
+TRIES = 200
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -70,72 +70,98 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return step
 
 
+def displaced(steps: list[dict[int, int]], columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions in one array: (entries, offset of each state). The entry at offset + symbol holds the offset of the
+    state it belongs to in its upper half and that of the next state in its lower half; -1 where there is none."""
+    room = 2 * sum(map(len, steps)) + 1
+    used, taken, offsets, x = bytearray(room + columns), bytearray(room), [0] * len(steps), 1
+    for state in sorted(range(len(steps)), key=lambda i: -len(steps[i])):
+        moves = steps[state]
+        for _ in range(TRIES):
+            x = (x * 6364136223846793005 + 1442695040888963407) & 0xFFFFFFFFFFFFFFFF
+            at = (x >> 32) % room
+            if not taken[at] and not any(used[at + c] for c in moves):
+                break
+        else:
+            at = len(used)
+            taken += bytes(at + 1 - len(taken))
+            used += bytes(columns)
+        taken[at], offsets[state] = 1, at
+        for c in moves:
+            used[at + c] = 1
+    entries = np.full(len(used), -1, np.int64)
+    for state, moves in enumerate(steps):
+        for c, to in moves.items():
+            entries[offsets[state] + c] = offsets[state] << 32 | offsets[to]
+    return entries, np.array(offsets, np.int64)
+
+
+def _folded(c: str) -> str:
+    return c.lower()[0]
+
+
 class Parser:
     """Cross-parses texts against labelled samples: ``samples`` has (lang, text) rows."""
 
     def __init__(self, samples: list[tuple[str, str]]):
-        self.langs = sorted({lang for lang, _ in samples})
-        letters = Counter(c for _, t in samples for c in t.lower() if c.isalpha())
-        kept = sorted(letters, key=lambda c: (-letters[c], c))[:LETTERS]
-        of = {c: i + 2 for i, c in enumerate(kept)}
-        self.symbol = np.array([of.get(c.lower(), _RARE) if (c := chr(i)).isalpha() else _BLANK for i in range(0x3000)], np.uint8)
-        self.columns = LETTERS + 3
-        self.pad = self.columns - 1
-        room = SYMBOLS // max(1, len(self.langs))
-        tables, self.starts, self.bits, base = [], [], [], 0
+        texts: dict[str, list[str]] = {}
+        for lang, t in sorted(samples):
+            texts.setdefault(lang, []).append(t)
+        self.langs = sorted(texts)
+        letters = {c for _, t in samples for c in set(t) if c.isalpha()}
+        self.of = {c: i + 2 for i, c in enumerate(sorted({_folded(c) for c in letters}))}
+        self.columns = len(self.of) + 2
+        self.symbol = np.full(0x110000, -1, np.int32)  # filled as code points come up
+        self.entries, self.roots, self.starts, self.bits = [], [], [], []
         for lang in self.langs:
-            text = " ".join(t for own, t in sorted(samples) if own == lang)
-            reference = self.symbols(text)[:room].tolist()
+            reference = self.symbols(" ".join(texts[lang])).tolist()
             steps = suffix_automaton(reference)
-            start = np.zeros(self.columns, np.int64)
-            start[:] = base * self.columns * 2 + 1  # a symbol that the reference lacks is a phrase of its own
+            entries, offsets = displaced(steps, self.columns)
+            start = np.full(self.columns, offsets[0])  # a symbol that the reference lacks is a phrase of its own
             for c, to in steps[0].items():
-                start[c] = (base + to) * self.columns * 2 + 1
-            table = np.tile(start, (len(steps), 1))
-            for state, moves in enumerate(steps):
-                for c, to in moves.items():
-                    table[state, c] = (base + to) * self.columns * 2
-            table[:, self.pad] = (base + np.arange(len(steps))) * self.columns * 2
-            tables.append(table.astype(np.int32))
-            self.starts.append(base * self.columns)
+                start[c] = offsets[to]
+            self.entries.append(entries)
+            self.roots.append(offsets[0])
+            self.starts.append(start)
             self.bits.append(math.log2(len(reference) + 2))
-            base += len(steps)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
     def symbols(self, text: str) -> np.ndarray:
         """Symbols of a text, runs of blanks as one."""
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        out = self.symbol[np.minimum(codes, 0x2FFF)]
-        high = np.flatnonzero(codes > 0x2FFE)
-        if len(high):
-            out[high] = [_RARE if chr(codes[i]).isalpha() else _BLANK for i in high]
+        out = self.symbol[codes]
+        if (out < 0).any():
+            for i in np.unique(codes[out < 0]).tolist():
+                self.symbol[i] = self.of.get(_folded(chr(i)), _RARE) if chr(i).isalpha() else _BLANK
+            out = self.symbol[codes]
         return out[np.concatenate(([True], (out[1:] != _BLANK) | (out[:-1] != _BLANK)))] if len(out) else out
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each symbol sequence (rows) against each language (columns)."""
         pieces = [-(-len(t) // PIECE) for t in texts]
-        lanes = np.full((sum(pieces), PIECE), self.pad, np.uint8)
+        width = min(PIECE, max(map(len, texts)))
+        lanes = np.zeros((sum(pieces), width), np.int32)
+        sizes = np.full(len(lanes), width)
         at = 0
         for t, n in zip(texts, pieces, strict=True):
             lanes[at : at + n].reshape(-1)[: len(t)] = t
             at += n
-        sizes = (lanes != self.pad).sum(axis=1)
+            if n:
+                sizes[at - 1] = len(t) - (n - 1) * width
         order = np.argsort(-sizes, kind="stable")
         lanes = np.ascontiguousarray(lanes[order].T)
-        active = np.searchsorted(-sizes[order], -np.arange(PIECE), side="left")
-        state = np.tile(np.array(self.starts, np.int32), (lanes.shape[1], 1))
-        counts = np.zeros(state.shape, np.int32)
-        for i in range(PIECE):
-            n = active[i]
-            if not n:
-                break
-            found = self.table.take(state[:n] + lanes[i, :n, None])
-            counts[:n] += found & 1
-            np.right_shift(found, 1, out=state[:n])
-        back = np.empty_like(counts)
-        back[order] = counts
+        active = np.searchsorted(-sizes[order], -np.arange(width), side="left")
+        owner = np.repeat(np.arange(len(texts)), pieces)[order]
         out = np.zeros((len(texts), len(self.langs)), np.int64)
-        np.add.at(out, np.repeat(np.arange(len(texts)), pieces), back)
+        for k, (entries, root, start) in enumerate(zip(self.entries, self.roots, self.starts, strict=True)):
+            state = np.full(len(order), root)
+            counts = np.zeros(len(order), np.int64)
+            for i in range(width):
+                n = active[i]
+                found = entries.take(state[:n] + lanes[i, :n])
+                ended = (found >> 32) != state[:n]
+                counts[:n] += ended
+                state[:n] = np.where(ended, start.take(lanes[i, :n]), found & 0xFFFFFFFF)
+            np.add.at(out[:, k], owner, counts)
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -184,12 +210,11 @@ def held_out():
 
 
 def labelled_sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(lang, part of a text) to learn from; bounded by the module's limits."""
+    """(lang, part of a text) to learn from: ``SAMPLE`` rows of each language at most."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     usable = slim.filter(F.col("lang").isNotNull() & F.coalesce(~held_out(), F.lit(False)) & (F.char_length("text") > 0))
-    langs = [r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     part = F.expr(f"substring(text, if(char_length(text) <= {PART}, 1, cast(char_length(text) / 2 as int) + 1), {PART})")
-    chosen = usable.filter(F.col("lang").isin(langs)).select("lang", part.alias("part"), F.xxhash64("doc_id").alias("h"), "doc_id")
+    chosen = usable.select("lang", part.alias("part"), F.xxhash64("doc_id").alias("h"), "doc_id")
     number = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "part"))
     return [(r.lang, r.part) for r in chosen.withColumn("number", number).filter(f"number <= {SAMPLE}").collect()]
 

@@ -49,6 +49,36 @@ def test_phrases(monkeypatch):
             assert abs(n - count) <= 1 + sum(c not in ref for c in text_of(t.tolist()))
 
 
+def test_displaced_holds_all_transitions(monkeypatch):
+    r = random.Random(3)
+    steps = m.suffix_automaton([r.randrange(40) for _ in range(400)])
+    for tries in (200, 1):  # with one try most states are put at the end
+        monkeypatch.setattr(m, "TRIES", tries)
+        entries, offsets = m.displaced(steps, 40)
+        assert len(set(offsets.tolist())) == len(steps)
+        for state, moves in enumerate(steps):
+            for c in range(40):
+                found = int(entries[offsets[state] + c])
+                assert (found & 0xFFFFFFFF if found >> 32 == offsets[state] else None) == (offsets[moves[c]] if c in moves else None)
+
+
+def test_scripts_with_many_letters():
+    r = random.Random(5)
+    scripts = {"el": 0x3B1, "ru": 0x430, "ar": 0x627, "ja": 0x3041, "ko": 0xAC00, "zh1": 0x4E00, "zh2": 0x5E00, "am": 0x1200}
+    word = lambda g: "".join(chr(scripts[g] + r.randrange(20 if g in ("el", "ru", "ar") else 80)) for _ in range(3))
+    lines = lambda g: " ".join(word(g) for _ in range(60))
+    p = m.Parser([(g, lines(g)) for g in scripts for _ in range(10)])
+    assert [a[0] for a in p.predict([lines(g) for g in scripts])] == list(scripts)
+
+
+def test_all_languages_are_learned(spark):
+    rows = [(100 * k + i, f"{chr(0x4E00 + 9 * k) * 3} {chr(0x4E01 + 9 * k) * 2} ", f"x{k:02}") for k in range(80) for i in range(8)]
+    rows += [(100_000 + i, "more of the most frequent", "x00") for i in range(500)]
+    got = m.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()
+    truth = {d: g for d, _, g in rows}
+    assert len(got) == len(rows) and all(g.lang_pred == truth[g.doc_id] for g in got)
+
+
 def test_held_out_accuracy(spark):
     docs = read_table(spark, "/root/testdata/sf0.01", "documents")
     truth = {r.doc_id: (r.lang, r.text) for r in docs.collect()}
