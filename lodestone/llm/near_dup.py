@@ -224,7 +224,8 @@ def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Link texts with 100 * shared shingles >= percent * all shingles of both, and number the components.
 
-    Returns rid, rth (the row's identity), doc_id, n_shingles, component_id, kept.
+    Returns rid, rth (the row's identity), doc_id, n_shingles, component_id, kept, root (the component's least node;
+    null without shingles).
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -244,19 +245,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     roots = connected(confirmed)
     least = full.groupBy("v").agg(F.min("doc_id").alias("least")).join(roots, "v", "left").select("v", "least", F.coalesce("root", "v").alias("root"))
     least = stored(least, "roots")
-    component = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("v", "component_id")
+    component = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("v", "root", "component_id")
     slim = signed.select("rid", "rth", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("v")).alias("v"))
     found = slim.join(component, "v", "left")
     component_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return found.select("rid", "rth", "doc_id", "n_shingles", component_id.alias("component_id"), component_id.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return found.select("rid", "rth", "doc_id", "n_shingles", component_id.alias("component_id"), component_id.eqNullSafe(F.col("doc_id")).alias("kept"), "root")
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row left of each group of near-duplicates: that of the least doc_id; all its columns stay."""
+    """``docs`` with one row left of each group of near-duplicates: that of the least doc_id (null is the
+    greatest), of these that of the least hash of its text; all its columns stay."""
     names = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumns({"__rid": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__rth": F.xxhash64(F.col("doc_id").cast("long"), text)})
-    kept = near_duplicates(docs, shingle, percent).filter("kept").groupBy(F.col("rid").alias("__rid"), F.col("rth").alias("__rth")).agg(F.max("n_shingles").alias("__n"))
+    alone = F.when(F.col("n_shingles") == 0, F.struct("rid", "rth"))  # rows without shingles are no copies
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "rth", "rid", "n_shingles")
+    first = near_duplicates(docs, shingle, percent).groupBy("root", alone.alias("alone")).agg(F.min(order).alias("r"))
+    kept = first.select(F.col("r.rid").alias("__rid"), F.col("r.rth").alias("__rth"), F.col("r.n_shingles").alias("__n"))
     joined = keyed.join(kept.hint("shuffle_hash"), ["__rid", "__rth"])
     # Rows equal in id and text are copies too: one stays, unless they are empty.
     return joined.withColumn("__one", F.when(F.col("__n") > 0, F.lit(0)).otherwise(F.monotonically_increasing_id())).dropDuplicates(["__rid", "__rth", "__one"]).select(*names)

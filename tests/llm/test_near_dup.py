@@ -75,6 +75,16 @@ def test_one_stays(spark):
     assert sorted(r.doc_id for r in out.collect()) == [2, 7, 8, 9] and out.columns == ["doc_id", "text"]
 
 
+def test_one_stays_on_null_and_repeated_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda i: " ".join([*base[:i], "other", *base[i + 1 :]])
+    far = lambda i: near(i).replace("w", "x")
+    rows = [(None, near(i)) for i in (0, 1, 58, 59)] + [(3, far(0)), (3, far(59)), (3, far(59)), (None, far(1)), (None, None), (None, "")]
+    out = m.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r.doc_id or 0 for r in out) == [0, 0, 0, 3]
+    assert sum("w2 " in (r.text or "") for r in out) == sum("x2 " in (r.text or "") for r in out) == 1
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert m.near_duplicates(none).collect() == [] and m.one_of_each_group(none).collect() == []
