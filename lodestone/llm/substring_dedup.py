@@ -1,12 +1,8 @@
-"""Substring dedup over words by relative Lempel-Ziv parsing.
+"""Substring dedup over words by windows that repeat, found with minimiser-anchored hash joins (``_repeats``).
 
-Every document is factored against all reference blocks at once. The index of the reference holds, for each anchor
-(the 8-word gram of least hash in a window), the different surroundings it occurs in, over the whole corpus. A
-document's factors are its maximal stretches around an anchor: one found whole in the index is a copy of a reference
-stretch, and long enough to be a duplicate span. At factor boundaries, where the surroundings differ, each window
-that crosses is compared with the windows of all other occurrences of the anchor (``_repeats``). The greedy choice of
-one longest source is so replaced by all sources, since with one source alone a window that repeats elsewhere could
-be missed; that makes the spans exact.
+Not a relative Lempel-Ziv parse, nothing is factored greedily: the choice of one longest source could miss a window that
+repeats elsewhere. Instead each window of words is compared, by hash, with the windows of all other occurrences of its
+anchor (the 8-word gram of least hash in it) over the whole corpus. That makes the spans exact but for hash collisions.
 
 Defined cases: null or empty text: no words, the sha256 of nothing. Equal rows are copies of each other. Texts of
 fewer words than the window lose nothing. Repeated or null doc_ids keep one result row for each input row. Other

@@ -1,12 +1,8 @@
-"""Exact substring dedup over bytes by prefix-free parsing.
+"""Exact substring dedup over bytes by windows that repeat, found with minimiser-anchored hash joins (``_repeats``).
 
-Rolling-hash triggers cut each text into phrases: a 16-byte gram is a trigger where its hash is the least in some
-400-byte window, so every such window holds one, which a fixed residue can't promise. Phrases with their
-surroundings (the *units* of ``_repeats``) are the parse; the different ones with their counts are the dictionary.
-Corpus order is only needed as far as "do two suffixes share 400 bytes": two suffixes share them if and only if
-their phrase suffixes and the phrases that follow agree so far. So instead of one global pair of suffix arrays,
-which no cluster can sort in one place, suffixes of equal rank are brought together by the hash of what they share:
-first whole dictionary entries, then, inside entries with a common trigger, single suffixes.
+Not prefix-free parsing, there is no dictionary, parse or suffix array: a global suffix array has to be sorted in one
+place. Instead each 400-byte window is compared, by hash, with all windows of the same anchor (the 16-byte gram of least
+hash in it, which a fixed residue can't promise). The removed bytes are exact but for hash collisions.
 
 Defined cases: null or empty text: 0 bytes, nothing removed, the sha256 of nothing. Equal rows are copies of each
 other. Texts under ``window`` bytes lose nothing. Repeated or null doc_ids keep one result row for each input row.
