@@ -5,7 +5,8 @@
    chunk with at most one difference. So each chunk is indexed once for every place left out (the enumerated
    error): all pairs within that distance share a key. The number of chunks is such that a pair just at the
    threshold has a chance of 1e-7 at most to share none.
-2. Nodes that share a key are linked for now: in small key groups each pair whose 64-bit sketches are near, in
+2. Nodes that share a key are linked for now: in small key groups each pair whose 64-bit sketches differ in no
+   more bits than signatures within the distance can, in
    crowded ones (many copies of one text) each node to the group's least. Components of these links are clusters.
 3. Clusters get their texts, once per node, and every pair is compared exactly there. A cluster with more than
    ``BLOCK`` shingles is cut into blocks by hash, one task for each two blocks; only a spanning forest comes out.
@@ -37,8 +38,6 @@ from lodestone.llm.components import connected
 CHUNK = 6
 #: Key groups up to this size give pairs, larger ones stars.
 CROWD = 16
-#: Sketch bits that may differ: more than 6 standard deviations above the mean at a similarity of 0.8.
-SKETCH_BITS = 20
 #: Shingles in one block of a cluster.
 BLOCK = 150_000
 
@@ -118,8 +117,10 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(nodes, n)), pa.array(np.repeat(sketch, n).view(np.int64))], ["key", "v", "sketch"])
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
+def _candidates(nodes: DataFrame, percent: int = 80) -> DataFrame:
     """Links (a, b) to be confirmed, of nodes that share a key."""
+    # A sketch has one bit of a place, so it differs in as many bits as the signature does in places, at most.
+    distance = 2 * chunks_for(percent) - 1
     keys = nodes.mapInArrow(tidy(_keys), "key long, v long, sketch long")
     # Written before it is joined: Spark splits a skewed join only if both sides come straight from a shuffle.
     shared = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("hub")).filter("n > 1"), "keys")
@@ -127,7 +128,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     crowded = members.filter(f"n > {CROWD}").select(F.col("v").alias("a"), F.col("hub").alias("b"))
     few = members.filter(f"n <= {CROWD}").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("v", "sketch"))).alias("m"))
     pairs = few.select(
-        F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["v"] > x["v"]) & (F.bit_count(y["sketch"].bitwiseXOR(x["sketch"])) <= SKETCH_BITS)), lambda y: F.struct(y["v"].alias("a"), x["v"].alias("b")))))).alias("p")
+        F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["v"] > x["v"]) & (F.bit_count(y["sketch"].bitwiseXOR(x["sketch"])) <= distance)), lambda y: F.struct(y["v"].alias("a"), x["v"].alias("b")))))).alias("p")
     )
     return pairs.select("p.a", "p.b").unionByName(crowded).distinct()
 
@@ -233,7 +234,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     signed = stored(rows.select("rid", "rth", "doc_id", "text").mapInArrow(tidy(_sign(shingle, chunks_for(percent) * CHUNK)), SIGNED), "signed")
     full = signed.filter("n_shingles > 0")
     nodes = full.groupBy("v").agg(F.min(F.struct("rid", "rth", "n_shingles")).alias("row"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
-    clusters = stored(connected(_candidates(nodes.select("v", "sig"))), "clusters")
+    clusters = stored(connected(_candidates(nodes.select("v", "sig"), percent)), "clusters")
     members = clusters.join(full.groupBy("v").agg(F.min(F.struct("rid", "rth", "n_shingles")).alias("row")), "v")
     blocks = members.groupBy("root").agg(F.ceil(F.sum("row.n_shingles") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(blocks, "root").select("row.rid", "row.rth", "v", "root", "blocks", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"))

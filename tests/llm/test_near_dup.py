@@ -90,6 +90,14 @@ def test_empty(spark):
     assert m.near_duplicates(none).collect() == [] and m.one_of_each_group(none).collect() == []
 
 
+def test_no_pair_within_the_distance_is_dropped(spark):
+    places = m.chunks_for(80) * m.CHUNK
+    sig = lambda n: b"".join((6 <= i < 6 + n).to_bytes(2, "little") for i in range(places))
+    nodes = spark.createDataFrame([(1, sig(0)), (2, sig(31)), (3, sig(50))], "v long, sig binary")
+    assert 31 == 2 * m.chunks_for(80) - 1
+    assert sorted(tuple(r) for r in m._candidates(nodes).collect()) == [(2, 1), (3, 2)]
+
+
 def test_connected(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (95, 100), (95, 95), (7, 3), (7, 3), (300 + 2**40, 5)] + [(1000, 1000 + i) for i in range(1, 60)]
     got = dict(connected(spark.createDataFrame(edges, "a long, b long")).collect())
