@@ -22,6 +22,8 @@ LOCAL_SHARED_DIR = "/tmp/checkpoints/lodestone"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in one Arrow batch; with texts of some kB a batch stays at a few MB.
 ARROW_ROWS = 200
+#: See ``spread_join``.
+HOT_KEYS, LEAST_HOT, SALTS = 10_000, 200, 32
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +32,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; set here only where unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. Where that is unset, a folder of
+    this machine serves if all executors run on it, and anything else is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = LOCAL_SHARED_DIR
-        spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
@@ -44,13 +48,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage is cut, so a lost executor costs no recomputation."""
+    """``df`` written to the shared folder and read back: lineage is cut, so a lost executor costs no recomputation.
+
+    Results are read from these tables later on, so they stay until the application ends.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    _remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the cluster's file system remove a folder when the application ends in order."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """Join ``left`` to ``right``, a stored table with one row for each key and the number of its rows in ``left`` as ``weight``.
+
+    Keys with more than a ``HOT_KEYS``-th of all rows are fewer than ``HOT_KEYS``, so they can be broadcast. Their rows
+    are dealt over ``SALTS`` places, and their rows in ``right`` are repeated for each place.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) > max(total / HOT_KEYS, LEAST_HOT)
+    hot = right.filter(heavy).select(*on).withColumn("__hot", F.lit(True))
+    flagged = left.join(F.broadcast(hot), on, "left")
+    place = F.when(F.col("__hot"), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(0)
+    places = F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = right.withColumn("__place", F.explode(places.cast("array<long>")))
+    return flagged.withColumn("__place", place.cast("long")).drop("__hot").join(salted, [*on, "__place"], how).drop("__place")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once for each context; they need not have it installed."""
     context = spark.sparkContext

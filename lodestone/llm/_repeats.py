@@ -1,261 +1,226 @@
-"""Exact repeats of a fixed length, found by content-anchored units. Used by the two substring operators.
+"""Tables shared by the two substring operators: which windows of a fixed length also start anywhere else.
 
-Every window of ``window`` symbols has an anchor: the gram of ``gram`` symbols in it with the least rolling hash,
-the rightmost of equal ones. The anchor depends on the window's content alone, so equal windows have equal
-anchors at equal offsets. Consecutive windows with one anchor make a *unit*, about 2 per window length:
+Each operator cuts its windows into *units* by a method of its own: runs of window starts with one ``key``, a hash of
+something that all windows of the unit hold, at ``lead`` symbols from the unit's start. Equal windows have equal keys at
+equal places, whatever is around them. So:
 
-1. Units whose anchor hash occurs nowhere else hold no repeat and go first. The others are grouped by anchor hash
-   and by the hash of all they cover, 128 bits together. A unit that occurs twice is all repeats.
-2. What is left (an anchor seen with different surroundings, as at the ends of a shared passage) sends its symbols
-   to the anchor's group, once for each different unit, and window hashes are compared there. A group of
-   more than ``GROUP`` different units is dealt by window hash over as many subgroups as it needs.
+1. Units whose key occurs nowhere else hold no repeat and go first. The others are grouped by key and by a
+   128-bit BLAKE2 digest of all they cover. Units with equal digests are repeats as a whole.
+2. Of units with one key and different digests, as at the ends of a shared passage, one of each sends its text to the
+   key's group, where the operator finds the repeats on the text itself. A key with more than ``GROUP``
+   different units sends digests of single windows instead, dealt by digest and told apart in each task first.
 
-So a passage shared by a third of all rows costs two rows for each of its occurrences, summed before the shuffle.
-Hashes have 128 bits for units and 64 for windows of one anchor group.
+Keys and digests that a large share of all rows has are dealt over many tasks (``spread_join``), and only counts
+and one text for each different unit are grouped by key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+import hashlib
+from collections.abc import Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import identified, small_batches, stored, tidy
-from lodestone.llm._rolling import BYTE_IMAGE, U, Prefix, mix, text_bytes, word_symbols, words_of
+from lodestone.llm._common import Stage, identified, small_batches, spread_join, stored, tidy
+from lodestone.llm._rolling import text_bytes
 
-#: Symbols handled at once; longer texts are cut into overlapping slices.
-SLICE = 1 << 18
-#: Different units of one anchor hash that are compared in one place.
+#: Different units of one key that are compared in one place.
 GROUP = 512
-#: Window hashes compared at once.
+#: Windows compared at once.
 BUFFER = 1 << 19
-_LOW = 21
 
+#: Units of some rows: row, start, number of windows, lead, key (uint64), digests (16 bytes each).
+Units = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]
 
-@dataclass(frozen=True)
-class Spec:
-    """Whether symbols are words or bytes, the window that must repeat, and the anchor's gram."""
 
-    words: bool
+class Method(Protocol):
+    """What an operator says about its units."""
+
     window: int
-    gram: int
-
-
-def anchored_units(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, spec: Spec) -> tuple[np.ndarray, ...]:
-    """Segment, start, number of windows, anchor hash and hash of the covered symbols (to another base) of every unit."""
-    n, width = len(symbols), spec.window - spec.gram + 1
-    if n < spec.window or not np.any(ends - starts >= spec.window):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    prefix = Prefix(symbols)
-    grams = prefix.every(spec.gram)
-    low = U((1 << _LOW) - 1)
-    ranked = (grams & ~low) | (low - np.arange(len(grams), dtype=np.uint64))
-    count = n - spec.window + 1
-    padded = np.full(-(-len(ranked) // width) * width, ~U(0), np.uint64)
-    padded[: len(ranked)] = ranked
-    blocks = padded.reshape(-1, width)
-    left = np.minimum.accumulate(blocks, axis=1).ravel()
-    right = np.ascontiguousarray(np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1]).ravel()
-    anchor = (low - (np.minimum(right[:count], left[width - 1 : width - 1 + count]) & low)).astype(np.int64)
-    segments = np.flatnonzero(ends - starts >= spec.window)
-    first = np.zeros(count, bool)
-    first[1:] = anchor[1:] != anchor[:-1]
-    first[starts[segments]] = True
-    valid = np.zeros(n + 1, np.int8)
-    valid[starts[segments]] += 1
-    np.add.at(valid, ends[segments] - spec.window + 1, -1)
-    valid = np.cumsum(valid[:-1]).astype(bool)[:count]
-    at = np.flatnonzero(first & valid)
-    segment = segments[np.searchsorted(starts[segments], at, side="right") - 1]
-    stop = np.minimum(np.append(at[1:], n), ends[segment] - spec.window + 1)
-    until = stop - 1 + spec.window
-    size = ((stop - at).astype(np.uint64) << U(16)) + (anchor[at] - at).astype(np.uint64)
-    return segment, at, stop - at, grams[anchor[at]], mix(Prefix(symbols, 1).of(at, until) ^ size)
-
-
-def sliced(raw: np.ndarray, offsets: np.ndarray, spec: Spec) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of rows with their symbols, at most about ``SLICE`` bytes each: symbols, segment starts, ends, row, first symbol of the segment in its row."""
-    row, rows = 0, len(offsets) - 1
-    while row < rows:
-        until = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE, side="right")) - 1)
-        part, edges = raw[offsets[row] : offsets[until]], offsets[row : until + 1] - offsets[row]
-        symbols, cuts = symbols_of(part, edges, spec)
-        starts, ends, of = cuts[:-1], cuts[1:], np.arange(row, until)
-        base = np.zeros(len(of), np.int64)
-        if len(symbols) <= SLICE:
-            yield symbols, starts, ends, of, base
-        else:  # one very long row
-            for a in range(0, len(symbols), SLICE):
-                piece = symbols[a : a + SLICE + spec.window - 1]
-                yield piece, np.zeros(1, np.int64), np.array([len(piece)]), of, np.array([a])
-        row = until
-
-
-def symbols_of(part: np.ndarray, edges: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of concatenated rows and where each row's symbols begin; words never cross rows, as rows are cut apart by offsets."""
-    if not spec.words:
-        return BYTE_IMAGE[part], edges
-    starts, ends, cuts = row_words(part, edges)
-    return word_symbols(part, starts, ends), cuts
-
-
-def row_words(part: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word starts and ends over concatenated rows, words cut at row edges, and the first word of each row."""
-    starts, ends = words_of(part)
-    inner = np.unique(edges[1:-1])
-    if len(starts) and len(inner):
-        owner = np.searchsorted(starts, inner, side="right") - 1
-        cut = inner[(owner >= 0) & (starts[owner] < inner) & (inner < ends[owner])]
-        starts, ends = np.sort(np.concatenate((starts, cut))), np.sort(np.concatenate((ends, cut)))
-    return starts, ends, np.searchsorted(starts, edges)
-
-
-UNITS = "rid long, rth long, start int, n int, key long, entry long"
-
-
-def _emit_units(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+
+    def units(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[Units]:
+        """All units of concatenated rows."""
+
+    def cutter(self, text: np.ndarray):
+        """For one row: a function of (start, number of symbols) that gives their bytes."""
+
+    def windows(self, covered: bytes, n: int) -> list[bytes]:
+        """The bytes of each of a unit's windows."""
+
+    def repeats(self, texts: list[bytes], n: np.ndarray, lead: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(unit, window) of each window that also is one of another place in its group; units come group by group."""
+
+
+def digest(data) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+UNITS = "rid long, rth long, start int, n int, lead int, key long, one long, two long"
+
+
+def _emit_units(method: Method) -> Stage:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_bytes(batch.column("text"))
             rid, rth = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "rth"))
-            for symbols, starts, ends, of, base in sliced(raw, offsets, spec):
-                segment, at, n, key, entry = anchored_units(symbols, starts, ends, spec)
-                if len(at):
-                    row = of[segment]
-                    own = (at - starts[segment] + base[segment]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (rid[row], rth[row], own, n.astype(np.int32), key.view(np.int64), entry.view(np.int64))], ["rid", "rth", "start", "n", "key", "entry"]
-                    )
+            for row, start, n, lead, key, digests in method.units(raw, offsets):
+                if len(row):
+                    both = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                    columns = [rid[row], rth[row], start.astype(np.int32), n.astype(np.int32), lead.astype(np.int32), key.view(np.int64), both[:, 0], both[:, 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["rid", "rth", "start", "n", "lead", "key", "one", "two"])
 
     return run
 
 
-OPEN = "rid long, rth long, start int, n int, single boolean, deal long, hashed boolean, payload binary"
+OPEN = "rid long, rth long, start int, n int, lead int, single boolean, deal long, kind int, body binary"
+_OPEN = pa.schema([("rid", pa.int64()), ("rth", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("lead", pa.int32()), ("single", pa.bool_()), ("deal", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
+#: Kinds of rows: a unit's text, a window's digest, a window known to be a repeat.
+TEXT, WINDOW, KNOWN = 0, 1, 2
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _OPEN, strict=True)], schema=_OPEN)
+
 
+def _emit_open(method: Method, group: int = GROUP, most: int = 1 << 19) -> Stage:
+    """For units to be compared: their text, or for crowded keys the digests of their windows.
 
-def _emit_open(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For the units that need it: their symbols, or for crowded anchors their window hashes dealt by value."""
+    Windows met more than once in one task are repeats already; of each of these digests one row leaves the task (or
+    one for each ``most`` digests), so a window that a third of all rows has makes no large group.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        seen: dict[bytes, list] = {}  # digest: row identity, start, single, whether met again
+
+        def leave() -> None:
+            for d, (rid, rth, start, single, _) in seen.items():
+                out.append((rid, rth, start, 1, 0, single, int.from_bytes(d[:8], "little", signed=True), WINDOW, d))
+            seen.clear()
+
+        def window(d: bytes, rid: int, rth: int, start: int, single: bool) -> None:
+            known = lambda i, t, s: (i, t, s, 1, 0, True, i * 31 + s, KNOWN, b"")
+            before = seen.get(d)
+            if before is None:
+                seen[d] = [rid, rth, start, single, False]
+                return
+            if before[3]:
+                out.append(known(*before[:3]))
+                before[3] = False
+            if single:
+                out.append(known(rid, rth, start))
+
         for batch in batches:
             raw, offsets = text_bytes(batch.column("text"))
             rid, rth = (batch.column(c).to_pylist() for c in ("rid", "rth"))
-            out: list[tuple] = []
             for row, units in enumerate(batch.column("units").to_pylist()):
-                part = raw[offsets[row] : offsets[row + 1]]
-                symbols = part if not spec.words else symbols_of(part, np.array([0, len(part)]), spec)[0]
+                cut = method.cutter(raw[offsets[row] : offsets[row + 1]])
                 for u in units:
-                    start, n, key, single, groups = u["start"], u["n"], u["key"], u["single"], -(-u["variants"] // GROUP)
-                    covered = symbols[start : start + n - 1 + spec.window]
-                    if groups == 1:
-                        out.append((rid[row], rth[row], start, n, single, key, False, covered.tobytes()))
+                    body = cut(u["start"], u["n"] - 1 + method.window)
+                    if u["variants"] <= group:
+                        out.append((rid[row], rth[row], u["start"], u["n"], u["lead"], u["single"], u["key"], TEXT, body))
                     else:
-                        hashes = Prefix(BYTE_IMAGE[covered] if not spec.words else covered).every(spec.window)
-                        dealt = (hashes >> U(40)) % U(groups)
-                        for g in np.unique(dealt):
-                            w = np.flatnonzero(dealt == g)
-                            deal = int(mix(np.array([key], np.int64).view(np.uint64) + np.array([g]) * U(0x9E3779B97F4A7C15)).view(np.int64)[0])
-                            out.append((rid[row], rth[row], start, n, single, deal, True, w.astype(np.int64).tobytes() + hashes[w].tobytes()))
-                if len(out) > 2000:
-                    yield _rows(out)
-                    out = []
-            if out:
-                yield _rows(out)
+                        for i, w in enumerate(method.windows(body, u["n"])):
+                            window(digest(w), rid[row], rth[row], u["start"] + i, u["single"])
+                    if len(seen) > most:
+                        leave()
+                    if len(out) > 2000:
+                        yield _rows(out)
+                        out.clear()
+        leave()
+        for i in range(0, len(out), 5000):
+            yield _rows(out[i : i + 5000])
 
     return run
 
 
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.bool_(), pa.binary())
-    names = ("rid", "rth", "start", "n", "single", "deal", "hashed", "payload")
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], list(names))
-
-
 SPANS = "rid long, rth long, start int, n int"
 
 
-def _resolve(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Windows of single units that another unit of the anchor group has too; rows come sorted by group."""
-
-    def answer(units: list[dict]) -> pa.RecordBatch | None:
-        hashes, owner, place = [], [], []
-        plain = [i for i, u in enumerate(units) if not u["hashed"]]
-        if plain:
-            kind = np.uint64 if spec.words else np.uint8
-            parts = [np.frombuffer(units[i]["payload"], kind) for i in plain]
-            cuts = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-            joined = np.concatenate(parts)
-            prefix = Prefix(joined if spec.words else BYTE_IMAGE[joined])
-            counts = np.array([units[i]["n"] for i in plain])
-            local = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            at = np.repeat(cuts[:-1], counts) + local
-            hashes.append(prefix.of(at, at + spec.window))
-            owner.append(np.repeat(np.array(plain), counts))
-            place.append(local)
-        for i, u in enumerate(units):
-            if u["hashed"]:
-                half = len(u["payload"]) // 2
-                place.append(np.frombuffer(u["payload"][:half], np.int64))
-                hashes.append(np.frombuffer(u["payload"][half:], np.uint64))
-                owner.append(np.full(len(place[-1]), i))
-        hashes, owner, place = (np.concatenate(x) for x in (hashes, owner, place))
-        deal = np.array([u["deal"] for u in units], np.int64).view(np.uint64)
-        _, back, times = np.unique(hashes + mix(deal)[owner], return_inverse=True, return_counts=True)
-        single = np.array([u["single"] for u in units])
-        hit = np.flatnonzero((times[back] > 1) & single[owner])
-        if not len(hit):
-            return None
-        hit = hit[np.lexsort((place[hit], owner[hit]))]
-        o, p = owner[hit], place[hit]
-        new = np.concatenate(([True], (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1)))
-        at = np.flatnonzero(new)
-        run = np.diff(np.append(at, len(hit)))
-        rid, rth, start = (np.array([u[c] for u in units], np.int64)[o[at]] for c in ("rid", "rth", "start"))
-        return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(rth), pa.array((start + p[at]).astype(np.int32)), pa.array(run.astype(np.int32))], ["rid", "rth", "start", "n"])
+def _runs(rid: np.ndarray, rth: np.ndarray, start: np.ndarray, unit: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Window places (sorted by unit and place) as runs."""
+    new = np.concatenate(([True], (unit[1:] != unit[:-1]) | (place[1:] != place[:-1] + 1)))
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(unit))).astype(np.int32)
+    u = unit[at]
+    return pa.RecordBatch.from_arrays([pa.array(rid[u]), pa.array(rth[u]), pa.array((start[u] + place[at]).astype(np.int32)), pa.array(n)], ["rid", "rth", "start", "n"])
+
+
+def _resolve(method: Method, buffer: int = BUFFER) -> Stage:
+    """Windows of single units that their group has once more; rows come sorted by ``deal``, groups stay whole."""
+
+    def answer(held: pa.Table) -> Iterator[pa.RecordBatch]:
+        kinds = held.column("kind").to_numpy()
+        for kind in (TEXT, WINDOW, KNOWN):
+            part = held.take(pa.array(np.flatnonzero(kinds == kind)))
+            if not len(part):
+                continue
+            rid, rth, start, n, lead, deal = (part.column(c).to_numpy() for c in ("rid", "rth", "start", "n", "lead", "deal"))
+            if kind == TEXT:
+                group = np.cumsum(np.concatenate(([0], deal[1:] != deal[:-1])))
+                unit, place = method.repeats(part.column("body").to_pylist(), n.astype(np.int64), lead.astype(np.int64), group)
+            elif kind == WINDOW:
+                number: dict[bytes, int] = {}
+                names = np.array([number.setdefault(b, len(number)) for b in part.column("body").to_pylist()])
+                unit = np.flatnonzero(np.bincount(names)[names] > 1)
+                place = np.zeros(len(unit), np.int64)
+            else:
+                unit, place = np.arange(len(part)), np.zeros(len(part), np.int64)
+            mine = part.column("single").to_numpy(zero_copy_only=False).astype(bool)[unit]
+            unit, place = unit[mine], place[mine]
+            if len(unit):
+                order = np.lexsort((place, unit))
+                yield _runs(rid, rth, start, unit[order], place[order])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[pa.RecordBatch] = []
         windows = 0
         for batch in batches:
-            for u in batch.to_pylist():
-                if windows > BUFFER and u["deal"] != held[-1]["deal"]:
-                    if (found := answer(held)) is not None:
-                        yield found
+            while batch.num_rows:
+                deal = batch.column("deal").to_numpy()
+                if windows >= buffer:  # up to the end of the group
+                    other = np.flatnonzero(deal != held[-1].column("deal")[-1].as_py())
+                    until = int(other[0]) if len(other) else len(deal)
+                else:
+                    ends = windows + np.cumsum(batch.column("n").to_numpy())
+                    until = min(len(deal), int(np.searchsorted(ends, buffer)) + 1)
+                if until:
+                    held.append(batch.slice(0, until))
+                    windows += int(batch.column("n").to_numpy()[:until].sum())
+                    batch = batch.slice(until)
+                if batch.num_rows and windows >= buffer and batch.column("deal")[0].as_py() != held[-1].column("deal")[-1].as_py():
+                    yield from answer(pa.Table.from_batches(held))
                     held, windows = [], 0
-                held.append(u)
-                windows += u["n"] if not u["hashed"] else len(u["payload"]) // 16
-        if held and (found := answer(held)) is not None:
-            yield found
+        if held:
+            yield from answer(pa.Table.from_batches(held))
 
     return run
 
 
-def repeated_windows(docs: DataFrame, spec: Spec) -> DataFrame:
+def repeated_windows(docs: DataFrame, method: Method) -> DataFrame:
     """Per row identity, ``spans``: the runs (start, n) of window starts whose window also starts anywhere else."""
     small_batches(docs.sparkSession)
     rows = identified(docs).select("rid", "rth", "text")
-    units = rows.mapInArrow(tidy(_emit_units(spec)), UNITS)
-    # Computing units again costs less than keeping those, most of them, whose anchor occurs once. Counts are written before they are joined: Spark splits a skewed join only if both sides come straight from a shuffle.
-    common = stored(units.groupBy("key").agg(F.count(F.lit(1)).alias("total")).filter("total > 1").select("key"), "anchors")
-    units = stored(units.join(common, "key", "left_semi"), "units")
-    variants = units.groupBy("key", "entry").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("rid", "rth", "start", "n")).alias("first"))
-    keys = stored(variants.groupBy("key").agg(F.count(F.lit(1)).alias("variants")), "anchors")
-    seen = stored(variants.join(keys, "key"), "variants")
-    whole = units.join(seen.filter("times > 1").select("key", "entry"), ["key", "entry"], "left_semi").select("rid", "rth", "start", "n")
-    unsure = (
-        seen.filter("variants > 1")
-        .select("first.rid", "first.rth", F.struct("first.start", "first.n", "key", (F.col("times") == 1).alias("single"), "variants").alias("unit"))
-        .groupBy("rid", "rth")
-        .agg(F.collect_list("unit").alias("units"))
-    )
+    units = rows.mapInArrow(tidy(_emit_units(method)), UNITS)
+    entry = ["key", "one", "two"]
+    # Computing units again costs less than keeping those, most of them, whose key occurs once.
+    keys = stored(units.groupBy("key").agg(F.count(F.lit(1)).alias("total")).filter("total > 1"), "keys")
+    units = stored(spread_join(units, keys, ["key"], "total", "left_semi"), "units")
+    first = F.min(F.struct("rid", "rth", "start", "n", "lead")).alias("first")
+    variants = stored(units.groupBy(*entry).agg(F.count(F.lit(1)).alias("times"), first), "variants")
+    crowds = stored(variants.groupBy("key").agg(F.count(F.lit(1)).alias("variants")).filter("variants > 1"), "crowds")
+    copied = stored(variants.filter("times > 1").select(*entry, "times"), "copied")
+    whole = spread_join(units, copied, entry, "times", "left_semi").select("rid", "rth", "start", "n")
+    unit = F.struct("first.start", "first.n", "first.lead", "key", (F.col("times") == 1).alias("single"), "variants").alias("unit")
+    unsure = spread_join(variants, crowds, ["key"], "variants").select("first.rid", "first.rth", unit).groupBy("rid", "rth").agg(F.collect_list("unit").alias("units"))
     # One row for each text: rows that are equal in id and text give the same symbols.
-    texts = rows.join(unsure.hint("shuffle_hash"), ["rid", "rth"]).mapInArrow(tidy(_emit_open(spec)), OPEN)
+    texts = rows.join(unsure.hint("shuffle_hash"), ["rid", "rth"]).mapInArrow(tidy(_emit_open(method)), OPEN)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = texts.repartition(parts, "deal").sortWithinPartitions("deal").mapInArrow(tidy(_resolve(spec)), SPANS)
+    edges = texts.repartition(parts, "deal").sortWithinPartitions("deal").mapInArrow(tidy(_resolve(method)), SPANS)
     return whole.unionByName(edges).groupBy("rid", "rth").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 
@@ -268,6 +233,6 @@ def covered(spans: list[dict] | None, length: int, window: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def with_spans(docs: DataFrame, spec: Spec) -> DataFrame:
+def with_spans(docs: DataFrame, method: Method) -> DataFrame:
     """``doc_id``, ``text`` (null: empty) of every row, with its ``spans`` or null."""
-    return identified(docs).join(repeated_windows(docs, spec).hint("shuffle_hash"), ["rid", "rth"], "left").select("doc_id", "text", "spans")
+    return identified(docs).join(repeated_windows(docs, method).hint("shuffle_hash"), ["rid", "rth"], "left").select("doc_id", "text", "spans")

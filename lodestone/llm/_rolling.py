@@ -1,11 +1,15 @@
 """Vectorised rolling hashes over byte or word sequences, for the Arrow stages.
 
 A substring's hash is a difference of prefix sums of ``symbol * base**i`` modulo 2**64, times the inverse
-power, so any substring costs O(1); two bases give 128 bits. Symbols are 64-bit random images of bytes.
+power, so any substring costs O(1). Symbols are 64-bit random images of bytes. Some long sequences collide under
+every base, so these hashes only choose places (anchors, triggers, minima); whether texts are equal is decided by
+BLAKE2 digests or on the texts themselves.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -79,8 +83,56 @@ def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
+def row_words(part: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word starts and ends over concatenated rows, words cut at row edges, and the first word of each row."""
+    starts, ends = words_of(part)
+    inner = np.unique(edges[1:-1])
+    if len(starts) and len(inner):
+        owner = np.searchsorted(starts, inner, side="right") - 1
+        cut = inner[(owner >= 0) & (starts[owner] < inner) & (inner < ends[owner])]
+        starts, ends = np.sort(np.concatenate((starts, cut))), np.sort(np.concatenate((ends, cut)))
+    return starts, ends, np.searchsorted(starts, edges)
+
+
+_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+
+
 def word_symbols(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit symbol for each word, folded from a 128-bit hash."""
-    image = BYTE_IMAGE[raw]
-    first, second = Prefix(image, 0).of(starts, ends), Prefix(image, 1).of(starts, ends)
-    return mix(first ^ ((second << U(23)) | (second >> U(41)))) | U(1)
+    """A 64-bit symbol for each word: of up to 8 bytes, one for each different word; beyond 16 bytes, from a BLAKE2 digest."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    padded = np.concatenate((raw, np.zeros(24, np.uint8)))
+    eight = np.ndarray(len(raw) + 16, "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    low = eight[starts] & _MASKS[np.minimum(size, 8)]
+    high = eight[np.minimum(starts + 8, len(raw))] & _MASKS[np.clip(size - 8, 0, 8)]
+    # Bijective in each part, so words of up to 8 bytes never meet (the length parts those that end in NUL from shorter ones).
+    out = mix(mix(low + U(0x9E3779B97F4A7C15)) ^ mix(high * U(0xC2B2AE3D27D4EB4F) + np.maximum(size, 8).astype(np.uint64)))
+    short = size < 8
+    out[short] ^= size[short].astype(np.uint64) << U(56)
+    if len(long := np.flatnonzero(size > 16)):
+        data = memoryview(raw.tobytes())
+        out[long] = np.frombuffer(b"".join([blake2b(data[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]), np.uint64)
+    return out
+
+
+def word_grams(symbols: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of every ``size`` symbols in a row, by start; not a polynomial, so no sequences collide by their form."""
+    n = max(0, len(symbols) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(size):
+        out = mix((out + U(0x9E3779B97F4A7C15)) ^ symbols[i : i + n])
+    return out
+
+
+def joined_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words with one blank where there was white space, and where they begin and end then."""
+    if not len(starts):
+        return raw[:0], starts, ends
+    space = SPACE[raw]
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    place = np.cumsum(keep)
+    out = raw[keep]
+    out[space[keep]] = 32
+    return out, place[starts] - 1, place[ends - 1]

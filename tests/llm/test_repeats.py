@@ -62,42 +62,91 @@ def test_words(spark, window, seed):
     assert Counter(map(tuple, got.collect())) == Counter((rows[i][0], w[0], w[1], w[3]) for i, w in enumerate(want))
 
 
-def test_crowded_anchor_and_slices(spark, monkeypatch):
-    """Small limits, so that groups are dealt by window hash and long texts are cut."""
-    import lodestone.llm._repeats as m
-
-    for name, value in (("GROUP", 4), ("SLICE", 64), ("BUFFER", 10)):
-        monkeypatch.setattr(m, name, value)
-    texts = texts_for(7, 15, 50)
-    from lodestone.llm._repeats import Spec
-
-    spec = Spec(words=False, window=15, gram=6)
-    want = brute([t or "" for t in texts], lambda t: list(t.encode()), bytes, 15)
-    # The stages run here in this process, so that the small limits hold.
+def in_process(texts, method, split, group, buffer, most):
+    """The stages run in this process, so that small limits hold: (symbols, symbols removed) of each text, and the kinds of rows met."""
     import numpy as np
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_pydict({"rid": list(range(len(texts))), "rth": [0] * len(texts), "text": texts})
-    units = [r for b in m._emit_units(spec)(iter([batch])) for r in b.to_pylist()]
-    entry = Counter((u["key"], u["entry"]) for u in units)
-    variants = Counter(k for k, _ in entry)
-    seen, spans, todo = set(), {}, {}
+    import lodestone.llm._repeats as m
+
+    ids = [pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int64()), pa.array(texts, pa.string())]
+    units = [r for b in m._emit_units(method)(iter([pa.RecordBatch.from_arrays(ids, ["rid", "rth", "text"])])) for r in b.to_pylist()]
+    entry = lambda u: (u["key"], u["one"], u["two"])
+    times = Counter(map(entry, units))
+    variants = Counter(k for k, _, _ in times)
+    spans, seen, todo, kinds = {}, set(), {}, set()
     for u in units:
-        e = (u["key"], u["entry"])
-        if entry[e] > 1:
+        e = entry(u)
+        if times[e] > 1:
             spans.setdefault(u["rid"], []).append(u)
         if variants[u["key"]] > 1 and e not in seen:
-            todo.setdefault(u["rid"], []).append(u | {"single": entry[e] == 1, "variants": variants[u["key"]]})
+            todo.setdefault(u["rid"], []).append({k: u[k] for k in ("start", "n", "lead", "key")} | {"single": times[e] == 1, "variants": variants[u["key"]]})
         seen.add(e)
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("single", pa.bool_()), ("variants", pa.int64())]))
-    given = pa.RecordBatch.from_arrays([pa.array(list(todo)), pa.array([0] * len(todo)), pa.array([texts[i] for i in todo]), pa.array([[{k: u[k] for k in ("start", "n", "key", "single", "variants")} for u in us] for us in todo.values()], kind)], ["rid", "rth", "text", "units"])
-    rows = sorted((r for b in m._emit_open(spec)(iter([given])) for r in b.to_pylist()), key=lambda r: r["deal"])
-    assert any(r["hashed"] for r in rows) and any(not r["hashed"] for r in rows)
-    for b in m._resolve(spec)(iter([m._rows([tuple(r.values()) for r in rows])])):
-        for r in b.to_pylist():
-            spans.setdefault(r["rid"], []).append(r)
-    got = [int(np.sum(m.covered(spans.get(i), len((t or "").encode()), 15))) for i, t in enumerate(texts)]
-    assert got == [w[1] for w in want]
+    if todo:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("lead", pa.int32()), ("key", pa.int64()), ("single", pa.bool_()), ("variants", pa.int64())]))
+        columns = [pa.array(list(todo)), pa.array([0] * len(todo)), pa.array([texts[i] for i in todo], pa.string()), pa.array(list(todo.values()), kind)]
+        given = pa.RecordBatch.from_arrays(columns, ["rid", "rth", "text", "units"])
+        rows = sorted((r for b in m._emit_open(method, group, most)(iter([given])) for r in b.to_pylist()), key=lambda r: r["deal"])
+        kinds = {r["kind"] for r in rows}
+        batches = [m._rows([tuple(r.values()) for r in rows[i : i + 7]]) for i in range(0, len(rows), 7)]
+        for b in m._resolve(method, buffer)(iter(batches)):
+            for r in b.to_pylist():
+                spans.setdefault(r["rid"], []).append(r)
+    sizes = [len(split(t or "")) for t in texts]
+    return [(n, int(np.sum(m.covered(spans.get(i), n, method.window)))) for i, n in enumerate(sizes)], kinds
+
+
+def test_methods_with_small_limits():
+    """Crowded keys, cut long texts, small buffers and all densities of triggers and anchors."""
+    assert set().union(*(small_limits(seed) for seed in range(12))) == {0, 1, 2}
+
+
+def small_limits(seed):
+    from lodestone.llm.substring_dedup import RelativeLempelZiv
+    from lodestone.llm.suffix_dedup import PrefixFreeParsing
+
+    r, met = random.Random(seed), set()
+    window = r.choice([5, 12, 33])
+    texts = texts_for(seed, window, r.choice([5, 20, 60]))
+    limits = (r.choice([1, 2, 4, 512]), r.choice([1, 10, 1 << 19]), r.choice([0, 3, 1 << 19]))
+    cut = r.choice([64, 200, 1 << 18])
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    for method, split, join in (
+        (PrefixFreeParsing(window, min(16, r.randint(1, window)), r.choice([2, 3, 24]), cut), lambda t: list(t.encode()), bytes),
+        (RelativeLempelZiv(window, r.randint(1, window), cut), words, lambda ws: " ".join(ws).encode()),
+    ):
+        got, kinds = in_process(texts, method, split, *limits)
+        assert got == [w[:2] for w in brute([t or "" for t in texts], split, join, window)]
+        met |= kinds
+    return met
+
+
+def test_very_long_texts(spark):
+    """Longer than a slice, with a passage that reaches over a slice's edge, one letter over and over, and a repeated line."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9)))
+    passage = " ".join(word() for _ in range(300))
+    long = " ".join(word() for _ in range(44_000))
+    texts = [long[: (1 << 18) - 700] + passage + long[(1 << 18) - 700 :], passage, "z" * 300_000, "a line that comes again and again\n" * 9_000, "short"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {g.doc_id: tuple(g)[1:5] for g in remove_repeated_bytes(docs).collect()}
+    want = brute(texts, lambda t: t.encode(), bytes, 400)
+    assert [got[i] for i in range(len(texts))] == want
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    got = {g.doc_id: (g.n_words, g.n_removed, g.kept_sha256) for g in remove_repeated_words(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [(w[0], w[1], w[3]) for w in brute(texts, words, lambda ws: " ".join(ws).encode(), 35)]
+
+
+def thue_morse(n, zero="a", one="b"):
+    return "".join(one if bin(i).count("1") % 2 else zero for i in range(n))
+
+
+def test_long_words_that_collide_in_polynomial_hashes(spark):
+    common = [f"w{i}" for i in range(34)]
+    texts = [" ".join([*common, thue_morse(1024)]), " ".join([*common, thue_morse(1024, "b", "a")])]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [r.n_removed for r in remove_repeated_words(docs).collect()] == [0, 0]
+    assert [r.n_removed for r in remove_repeated_bytes(docs, 1100).collect()] == [0, 0]
 
 
 def test_empty(spark):
