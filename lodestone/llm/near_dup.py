@@ -1,6 +1,6 @@
 """MinHash near-duplicates by a multi-index Hamming join, links confirmed on full shingle sets.
 
-1. Equal word sequences become one node. A node has a signature of b-bit minima (b = 16), cut into chunks of
+1. Equal word sequences, told by a 128-bit BLAKE2 digest, become one node. A node has a signature of b-bit minima (b = 16), cut into chunks of
    ``CHUNK`` values. By the pigeonhole principle, two signatures that differ in at most 2 * chunks - 1 places have a
    chunk with at most one difference. So each chunk is indexed once for every place left out (the enumerated
    error): all pairs within that distance share a key. The number of chunks is such that a pair just at the
@@ -22,6 +22,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -30,9 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import identified, small_batches, stored, tidy
-from lodestone.llm._repeats import row_words
-from lodestone.llm._rolling import U, Prefix, mix, text_bytes, word_symbols
+from lodestone.llm._common import identified, small_batches, spread_join, stored, tidy
+from lodestone.llm._rolling import U, joined_words, mix, row_words, text_bytes, word_grams, word_symbols
 from lodestone.llm.components import connected
 
 CHUNK = 6
@@ -49,22 +49,21 @@ def chunks_for(percent: int) -> int:
     return max(11, math.ceil(math.log(1e-7) / math.log(max(1e-12, 1 - one)))) if one < 1 else 11
 
 
-def shingle_sets(column: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, int]]:
-    """For each text, its distinct shingle hashes (sorted) and a hash of its word sequence."""
+def shingle_sets(column: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, bytes]]:
+    """For each text, its distinct shingle hashes (sorted) and the digest of its word sequence."""
     raw, offsets = text_bytes(column)
     upper = (raw >= 65) & (raw <= 90)
     raw = raw + (upper * 32).astype(np.uint8)
     starts, ends, cuts = row_words(raw, offsets)
-    symbols = word_symbols(raw, starts, ends)
-    first, second = Prefix(symbols, 0), Prefix(symbols, 1)
-    grams = first.every(shingle) if len(symbols) >= shingle else np.zeros(0, np.uint64)
-    whole = mix(first.of(cuts[:-1], cuts[1:]) + mix(second.of(cuts[:-1], cuts[1:])) * U(3) + np.diff(cuts).astype(np.uint64))
-    for i in range(len(cuts) - 1):
-        a, b = cuts[i], cuts[i + 1]
+    grams = word_grams(word_symbols(raw, starts, ends), shingle)
+    words, starts, ends = joined_words(raw, starts, ends)
+    data = memoryview(words.tobytes())
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        whole = hashlib.blake2b(data[starts[a] : ends[b - 1]] if b > a else b"", digest_size=16).digest()
         if b - a >= shingle:
-            yield np.unique(grams[a : b - shingle + 1]), int(whole[i])
+            yield np.unique(grams[a : b - shingle + 1]), whole
         else:
-            yield whole[i : i + 1] if b > a else whole[:0], int(whole[i])
+            yield np.frombuffer(whole[:8] if b > a else b"", np.uint64), whole
 
 
 def _signer(places: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +80,7 @@ def signature(grams: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> np.n
     return (mix(least) >> U(48)).astype(np.uint16)
 
 
-SIGNED = "rid long, rth long, doc_id long, v long, n_shingles long, sig binary"
+SIGNED = "rid long, rth long, doc_id long, v binary, n_shingles long, sig binary"
 
 
 def _sign(shingle: int, places: int):
@@ -94,7 +93,7 @@ def _sign(shingle: int, places: int):
                 nodes.append(whole)
                 sigs.append(signature(grams, factors, terms).tobytes() if len(grams) else None)
             columns = [batch.column(c) for c in ("rid", "rth", "doc_id")]
-            columns += [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())]
+            columns += [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["rid", "rth", "doc_id", "v", "n_shingles", "sig"])
 
     return run
@@ -113,18 +112,18 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = mix(chunks * U(0x9E3779B97F4A7C15) + salt)
         keys = mix((terms.sum(axis=2, dtype=np.uint64)[:, :, None] - terms) ^ salt).reshape(len(sig), -1)
         n = keys.shape[1]
-        nodes = batch.column("v").to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(nodes, n)), pa.array(np.repeat(sketch, n).view(np.int64))], ["key", "v", "sketch"])
+        names = np.repeat(np.frombuffer(b"".join(batch.column("v").to_pylist()), "V16"), n)
+        nodes = pa.BinaryArray.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(np.arange(0, 16 * len(names) + 1, 16, dtype=np.int32)), pa.py_buffer(names.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), nodes, pa.array(np.repeat(sketch, n).view(np.int64))], ["key", "v", "sketch"])
 
 
 def _candidates(nodes: DataFrame, percent: int = 80) -> DataFrame:
     """Links (a, b) to be confirmed, of nodes that share a key."""
     # A sketch has one bit of a place, so it differs in as many bits as the signature does in places, at most.
     distance = 2 * chunks_for(percent) - 1
-    keys = nodes.mapInArrow(tidy(_keys), "key long, v long, sketch long")
-    # Written before it is joined: Spark splits a skewed join only if both sides come straight from a shuffle.
+    keys = nodes.mapInArrow(tidy(_keys), "key long, v binary, sketch long")
     shared = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("hub")).filter("n > 1"), "keys")
-    members = stored(keys.join(shared, "key"), "members")
+    members = stored(spread_join(keys, shared, ["key"], "n"), "members")
     crowded = members.filter(f"n > {CROWD}").select(F.col("v").alias("a"), F.col("hub").alias("b"))
     few = members.filter(f"n <= {CROWD}").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("v", "sketch"))).alias("m"))
     pairs = few.select(
@@ -219,7 +218,7 @@ def _confirm(shingle: int, percent: int):
 
 
 def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.binary()), pa.array([e[1] for e in out], pa.binary())], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -236,21 +235,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     nodes = full.groupBy("v").agg(F.min(F.struct("rid", "rth", "n_shingles")).alias("row"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
     clusters = stored(connected(_candidates(nodes.select("v", "sig"), percent)), "clusters")
     members = clusters.join(full.groupBy("v").agg(F.min(F.struct("rid", "rth", "n_shingles")).alias("row")), "v")
-    blocks = members.groupBy("root").agg(F.ceil(F.sum("row.n_shingles") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(blocks, "root").select("row.rid", "row.rth", "v", "root", "blocks", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"))
+    blocks = stored(members.groupBy("root").agg(F.ceil(F.sum("row.n_shingles") / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")), "blocks")
+    placed = spread_join(members, blocks, ["root"], "n").select("row.rid", "row.rth", "v", "root", "blocks", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"))
     dealt = rows.select("rid", "rth", "text").join(placed.hint("shuffle_hash"), ["rid", "rth"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.select("v", "root", "block", "text", other.alias("other")).select("v", "root", "block", "text", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    confirmed = dealt.repartition(parts, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(tidy(_confirm(shingle, percent)), "a long, b long")
+    confirmed = dealt.repartition(parts, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(tidy(_confirm(shingle, percent)), "a binary, b binary")
     roots = connected(confirmed)
-    least = full.groupBy("v").agg(F.min("doc_id").alias("least")).join(roots, "v", "left").select("v", "least", F.coalesce("root", "v").alias("root"))
-    least = stored(least, "roots")
-    component = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("v", "root", "component_id")
-    slim = signed.select("rid", "rth", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("v")).alias("v"))
-    found = slim.join(component, "v", "left")
-    component_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return found.select("rid", "rth", "doc_id", "n_shingles", component_id.alias("component_id"), component_id.eqNullSafe(F.col("doc_id")).alias("kept"), "root")
+    texts = full.groupBy("v").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    least = stored(texts.join(roots, "v", "left").select("v", "least", "rows", F.coalesce("root", "v").alias("root")), "roots")
+    groups = stored(least.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "groups")
+    component = stored(spread_join(least, groups, ["root"], "n").select("v", "rows", "root", "component_id"), "components")
+    slim = ["rid", "rth", "doc_id", "n_shingles"]
+    found = spread_join(full.select(*slim, "v"), component, ["v"], "rows").select(*slim, "component_id", "root")
+    bare = signed.filter("n_shingles = 0").select(*slim, F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("root"))
+    return found.unionByName(bare).select(*slim, "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"), "root")
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -93,9 +93,19 @@ def test_empty(spark):
 def test_no_pair_within_the_distance_is_dropped(spark):
     places = m.chunks_for(80) * m.CHUNK
     sig = lambda n: b"".join((6 <= i < 6 + n).to_bytes(2, "little") for i in range(places))
-    nodes = spark.createDataFrame([(1, sig(0)), (2, sig(31)), (3, sig(50))], "v long, sig binary")
+    name = lambda i: bytes([i] * 16)
+    nodes = spark.createDataFrame([(name(1), sig(0)), (name(2), sig(31)), (name(3), sig(50))], "v binary, sig binary")
     assert 31 == 2 * m.chunks_for(80) - 1
-    assert sorted(tuple(r) for r in m._candidates(nodes).collect()) == [(2, 1), (3, 2)]
+    assert sorted((bytes(a), bytes(b)) for a, b in m._candidates(nodes).collect()) == [(name(2), name(1)), (name(3), name(2))]
+
+
+def test_sequences_that_collide_in_polynomial_hashes(spark):
+    order = lambda a, b: " ".join(b if bin(i).count("1") % 2 else a for i in range(4096))
+    letters = order("a", "b").replace(" ", "")
+    rows = [(1, order("x", "y")), (2, order("y", "x")), (3, letters), (4, letters.translate({97: 98, 98: 97}))]
+    got = {r.doc_id: r.component_id for r in m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {d: c for d, _, c, _ in brute(rows, 5, 80)}
+    assert got == want and got[3] == 3 and got[4] == 4
 
 
 def test_connected(spark):
