@@ -1,10 +1,11 @@
 """Token-ID output: documents tokenised into grammar-compressed shards that can be read at random.
 
 A shard holds whole documents, in ascending doc_id order (null first, equal ids by text), of about ``SHARD_IDS`` ids.
-Its ids are compressed by Re-Pair: pairs of neighbouring symbols that occur often become nonterminals. Counting
-restarts after each round; a round takes the frequent pairs by descending count, and where two overlap the more
-frequent one wins. Rounds go on while pairs of ``MIN_COUNT`` are left, up to ``rounds``. Pairs never hold the
-end id, so no nonterminal crosses a document.
+Its ids are compressed by Re-Pair: pairs of neighbouring symbols that occur often become nonterminals, until no pair
+occurs ``MIN_COUNT`` times or the 16-bit symbols are used up. Counts are taken anew in rounds, not after each single
+replacement: a round takes all frequent pairs by descending count, and where two overlap the more frequent one wins. A pair of old symbols
+only loses places, so a round after the first counts pairs with a new symbol, and those the last round left frequent. Pairs
+never hold the end id, so no nonterminal crosses a document.
 
 File format: Parquet, one row for each shard (part, seq, n_docs, n_ids, body). ``body`` is little-endian: magic
 ``LRP1``; uint32 n_terminals, n_rules, n_symbols, n_docs; then rules (2 x uint16 each), expansion lengths of the
@@ -13,7 +14,7 @@ for each document that is 1 where its doc_id is null. Parts are ranges of doc_id
 The expansion lengths let ``read_ids`` find and expand only the symbols it needs.
 
 Defined cases: a null or empty text is the end id alone; equal rows are all kept; an empty table gives no shard and
-no rows; other columns are ignored. Ids must be below 65,536 less the rules.
+no rows; other columns are ignored. A tokenizer of 65,536 ids or more is an error.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from lodestone.llm._rolling import text_bytes
 SHARD_IDS = 1 << 19
 MIN_COUNT = 24
 END_ID = 1
+#: Symbols of 16 bits.
+MOST_SYMBOLS = 1 << 16
 MAGIC = b"LRP1"
 #: Words that a worker remembers the ids of, at most.
 REMEMBERED = 400_000
@@ -64,6 +67,8 @@ class WordTokenizer:
         self.bare = Tokenizer(self.full.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.size = self.full.get_vocab_size()
+        if self.size >= MOST_SYMBOLS:
+            raise ValueError(f"{self.size} ids do not fit 16-bit symbols")
         ends = np.zeros(self.size + 1, bool)
         for token, i in self.full.get_vocab().items():
             ends[i] = token.endswith("</w>")
@@ -184,47 +189,63 @@ def _segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return raw, starts, np.searchsorted(starts, offsets)
 
 
-def compress(ids: np.ndarray, terminals: int, rounds: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _slots(pairs: np.ndarray) -> np.ndarray:
+    return (pairs * np.uint32(2654435761)) >> np.uint32(12)
+
+
+def compress(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over one shard: rules (pairs), their expansion lengths, and the remaining symbols."""
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     lengths = np.ones(terminals, np.int64)
-    room = 65_536 - terminals
-    for _ in range(rounds):
-        if len(seq) < 2 or room <= 0:
-            break
-        pair = (seq[:-1] << np.uint32(16)) | seq[1:]
+    fresh, still = 0, np.zeros(1 << 20, bool)  # the first new symbol, and slots of pairs that are still frequent
+    while len(seq) > 1 and len(lengths) < MOST_SYMBOLS:
+        left, right = seq[:-1], seq[1:]
+        pair = (left << np.uint32(16)) | right
+        open_ = (left != END_ID) & (right != END_ID)
+        if fresh:
+            open_ &= (left >= fresh) | (right >= fresh) | still[_slots(pair)]
+        place = np.flatnonzero(open_)
         # Hashed counts never undercount, so the frequent pairs are among the places kept here.
-        slot = (pair * np.uint32(2654435761)) >> np.uint32(12)
-        often = np.bincount(slot, minlength=1 << 20) >= min_count
-        place = np.flatnonzero(often[slot] & (seq[:-1] != END_ID) & (seq[1:] != END_ID))
+        slot = _slots(pair[place])
+        place = place[(np.bincount(slot, minlength=1 << 20) >= min_count)[slot]]
         found, back, times = np.unique(pair[place], return_inverse=True, return_counts=True)
         order = np.lexsort((found, -times))
-        order = order[: min(room, int((times >= min_count).sum()))]
+        order = order[: min(MOST_SYMBOLS - len(lengths), int((times >= min_count).sum()))]
         if not len(order):
             break
-        rank = np.full(len(found), len(order), np.int64)
+        rank = np.full(len(found), len(order), np.int32)
         rank[order] = np.arange(len(order))
-        # A place is replaced if no overlapping pair ranks before its own; of equal pairs in a row, the first.
-        ranks = np.full(len(pair) + 2, len(order), np.int64)
+        # A place is replaced if no overlapping pair ranks before its own; of equal pairs in a row, every second one.
+        ranks = np.full(len(pair) + 2, len(order), np.int32)
         ranks[place + 1] = rank[back]
-        mid = ranks[1:-1]
-        at = np.flatnonzero((mid < len(order)) & (mid < ranks[:-2]) & (mid <= ranks[2:]))
-        used = np.unique(mid[at])
-        name = np.zeros(len(order), np.int64)
-        name[used] = len(lengths) + np.arange(len(used))
-        pairs = found[order[used]]
+        mid, before = ranks[1:-1], ranks[:-2]
+        at = np.flatnonzero((mid < len(order)) & (mid <= before) & (mid <= ranks[2:]))
+        tied = mid[at] == before[at]
+        if tied.any():
+            # In a run of one symbol, pairs at an even distance from the run's first stay.
+            run = np.flatnonzero(~(tied & np.concatenate(([False], at[1:] == at[:-1] + 1))))
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+        done = np.bincount(mid[at], minlength=len(order))
+        good = done >= max(2, min_count // 2)  # a pair of two equal symbols counts its overlaps as well
+        at = at[good[mid[at]]]
+        name = np.cumsum(good) - 1 + len(lengths)
+        pairs = found[order[good]]
+        still[:] = False
+        still[_slots(found[order[times[order] - np.where(good, done, 0) >= min_count]])] = True
+        fresh = len(lengths)
         rules.append(np.stack((pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)), axis=1).astype(np.uint16))
         lengths = np.concatenate((lengths, lengths[rules[-1][:, 0]] + lengths[rules[-1][:, 1]]))
-        room -= len(used)
         seq[at] = name[mid[at]]
-        seq = np.delete(seq, at + 1)
+        keep = np.ones(len(seq), bool)
+        keep[at + 1] = False
+        seq = seq[keep]
     return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16), lengths[terminals:], seq.astype(np.uint16)
 
 
-def pack(ids: np.ndarray, per_doc: np.ndarray, doc_ids: list[int | None], terminals: int, rounds: int) -> bytes:
+def pack(ids: np.ndarray, per_doc: np.ndarray, doc_ids: list[int | None], terminals: int, min_count: int = MIN_COUNT) -> bytes:
     """The body of a shard."""
-    rules, lengths, seq = compress(ids, terminals, rounds)
+    rules, lengths, seq = compress(ids, terminals, min_count)
     head = np.array([terminals, len(rules), len(seq), len(doc_ids)], "<u4")
     null = np.array([d is None for d in doc_ids], np.uint8)
     parts = (head.astype("<u4"), rules.astype("<u2"), lengths.astype("<u4"), seq.astype("<u2"), per_doc.astype("<u4"), np.array([d or 0 for d in doc_ids], "<i8"), null)
@@ -303,7 +324,7 @@ def _merged(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[
         yield pa.Table.from_batches(held)
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, rounds: int = 4) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, min_count: int = MIN_COUNT) -> None:
     """Tokenise ``docs`` (doc_id, text) and write the shards to ``path``; ``tokenizer`` is a file on every node."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -317,7 +338,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, rounds: int = 4) ->
 
         def flush() -> pa.RecordBatch:
             all_ids, counts = np.concatenate(ids), np.concatenate(per_doc)
-            body = pack(all_ids, counts, names, coder.size, rounds)
+            body = pack(all_ids, counts, names, coder.size, min_count)
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "n_docs": [len(names)], "n_ids": [len(all_ids)], "body": [body]}, schema=kind)
 
         kind = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("body", pa.binary())])
@@ -367,8 +388,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return found.join(first, ["part", "seq"]).select("doc_id", start.alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, tokenizer: str, path: str | None = None, rounds: int = 4) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, path: str | None = None, min_count: int = MIN_COUNT) -> DataFrame:
     """Write the shards, to the shared folder unless ``path`` is given, and describe the documents read back."""
     path = path or scratch_path(docs.sparkSession, "tokens")
-    write_shards(docs, path, tokenizer, rounds)
+    write_shards(docs, path, tokenizer, min_count)
     return read_documents(docs.sparkSession, path)

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +43,20 @@ def test_forgetting_keeps_results(monkeypatch):
         assert coder.encode(pa.array(texts))[0].tolist() == [i for d in reference(texts) for i in d]
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 6])
-def test_shard_round_trip(rounds):
+@pytest.mark.parametrize("least", [10**9, 24, 3])
+def test_shard_round_trip(least):
     r = np.random.default_rng(3)
     docs = [np.append(np.tile(r.integers(0, 40, r.integers(1, 30)), r.integers(0, 50)), 1) for _ in range(60)] + [np.array([1]), np.full(2000, 7)]
     ids = np.concatenate(docs).astype(np.uint16)
     names = [None, *range(1, len(docs))]
-    shard = m.Shard(m.pack(ids, np.array([len(d) for d in docs]), names, 50, rounds))
+    shard = m.Shard(m.pack(ids, np.array([len(d) for d in docs]), names, 50, least))
     assert shard.ids().tolist() == ids.tolist() and shard.doc_ids == names
-    assert (len(shard.rules) > 0) == (rounds > 0)
+    assert (len(shard.rules) > 0) == (least < 10**9)
+    symbols = shard.symbols.tolist()
+    left = Counter(p for p in zip(symbols, symbols[1:]) if 1 not in p)
+    # No frequent pair is left, but that a run of one symbol may count its overlaps.
+    assert all(n < least or (a == b and n < 2 * least) for (a, b), n in left.items())
+    assert shard.lengths[50:].tolist() == [len(shard._expand(np.array([50 + i]))) for i in range(len(shard.rules))]
     for start, n in ((0, 1), (5, 100), (len(ids) - 3, 3), (17, 0)):
         assert shard.read_ids(start, n).tolist() == ids[start : start + n].tolist()
     for i, d in enumerate(docs):
@@ -67,3 +73,13 @@ def test_query_against_brute_force(spark, tmp_path, monkeypatch):
         assert tuple(g) == (row[0], at, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
         at += len(want)
     assert m.token_output(docs.limit(0), PATH).collect() == []
+
+
+def test_16_bit_symbols_run_out(monkeypatch):
+    monkeypatch.setattr(m, "MOST_SYMBOLS", 60)
+    ids = np.tile(np.arange(2, 40), 200).astype(np.uint16)
+    rules, lengths, seq = m.compress(ids, 50, 3)
+    assert len(rules) == 10 and m.Shard(m.pack(ids, np.array([len(ids)]), [1], 50, 3)).ids().tolist() == ids.tolist()
+    monkeypatch.setattr(m, "MOST_SYMBOLS", 1000)
+    with pytest.raises(ValueError, match="16-bit"):
+        m.WordTokenizer(PATH)
