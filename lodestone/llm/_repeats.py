@@ -7,8 +7,12 @@ equal places, whatever is around them. So:
 1. Units whose key occurs nowhere else hold no repeat and go first. The others are grouped by key and by a
    128-bit BLAKE2 digest of all they cover. Units with equal digests are repeats as a whole.
 2. Of units with one key and different digests, as at the ends of a shared passage, one of each sends its text to the
-   key's group, where the operator finds the repeats on the text itself. A key with more than ``GROUP``
-   different units sends digests of single windows instead, dealt by digest and told apart in each task first.
+   key's group, where the operator finds the repeats on the text itself.
+3. A key with more than ``GROUP`` different units is split: its units are cut into *parts*, about ``sqrt(window)`` windows each,
+   at fixed distances from ``lead``. A part's key is a digest of the text that all its windows hold, so equal windows are
+   in parts with equal keys, and 1 and 2 apply to parts. Most parts lie wholly inside or wholly outside
+   of what is shared and are done with; of keys that are crowded still, windows go out one by one, dealt by digest
+   and told apart in each task first.
 
 Keys and digests that a large share of all rows has are dealt over many tasks (``spread_join``), and only counts
 and one text for each different unit are grouped by key.
@@ -17,6 +21,7 @@ and one text for each different unit are grouped by key.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -59,6 +64,7 @@ def digest(data) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
+ENTRY = ["key", "one", "two"]
 UNITS = "rid long, rth long, start int, n int, lead int, key long, one long, two long"
 
 
@@ -78,16 +84,69 @@ def _emit_units(method: Method) -> Stage:
 
 OPEN = "rid long, rth long, start int, n int, lead int, single boolean, deal long, kind int, body binary"
 _OPEN = pa.schema([("rid", pa.int64()), ("rth", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("lead", pa.int32()), ("single", pa.bool_()), ("deal", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
-#: Kinds of rows: a unit's text, a window's digest, a window known to be a repeat.
-TEXT, WINDOW, KNOWN = 0, 1, 2
+#: Kinds of rows: a unit's text, a window's digest, a window known to be a repeat, the text of a unit to be split.
+TEXT, WINDOW, KNOWN, CROWDED = 0, 1, 2, 3
+PARTS = "rid long, rth long, start int, n int, lead int, single boolean, key long, one long, two long, body binary"
+_PARTS = pa.schema([*_OPEN][:6] + [("key", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("body", pa.binary())])
 
 
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _OPEN, strict=True)], schema=_OPEN)
+def _rows(out: list[tuple], schema: pa.Schema = _OPEN) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
-def _emit_open(method: Method, group: int = GROUP, most: int = 1 << 19) -> Stage:
-    """For units to be compared: their text, or for crowded keys the digests of their windows.
+def _number(d: bytes) -> int:
+    return int.from_bytes(d[:8], "little", signed=True)
+
+
+def _emit_open(method: Method, group: int) -> Stage:
+    """The text of units to be compared or, where more than ``group`` share a key, to be split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for batch in batches:
+            raw, offsets = text_bytes(batch.column("text"))
+            rid, rth = (batch.column(c).to_pylist() for c in ("rid", "rth"))
+            for row, units in enumerate(batch.column("units").to_pylist()):
+                cut = method.cutter(raw[offsets[row] : offsets[row + 1]])
+                for u in units:
+                    kind = TEXT if u["variants"] <= group else CROWDED
+                    out.append((rid[row], rth[row], u["start"], u["n"], u["lead"], u["single"], u["key"], kind, cut(u["start"], u["n"] - 1 + method.window)))
+                if len(out) > 2000:
+                    yield _rows(out)
+                    out.clear()
+        if out:
+            yield _rows(out)
+
+    return run
+
+
+def _emit_parts(method: Method) -> Stage:
+    """Units cut where the distance to ``lead`` is a multiple of ``step``; windows of one part all hold its core."""
+    step = math.isqrt(method.window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for u in batch.to_pylist():
+                cut = method.cutter(np.frombuffer(u["body"], np.uint8))
+                i = 0
+                while i < u["n"]:
+                    block = (u["lead"] - i) // step  # of distances block * step to block * step + step - 1
+                    core = u["lead"] - block * step
+                    stop = min(u["n"], core + 1)
+                    body = cut(i, stop - i - 1 + method.window)
+                    own = digest(body)
+                    key = digest(b"%d %d " % (u["deal"], block) + cut(core, method.window - step + 1))
+                    out.append((u["rid"], u["rth"], u["start"] + i, stop - i, core - i, u["single"], _number(key), _number(own), _number(own[8:]), body))
+                    i = stop
+            if out:
+                yield _rows(out, _PARTS)
+
+    return run
+
+
+def _emit_windows(method: Method, most: int = 1 << 19) -> Stage:
+    """Digests of the single windows of parts.
 
     Windows met more than once in one task are repeats already; of each of these digests one row leaves the task (or
     one for each ``most`` digests), so a window that a third of all rows has makes no large group.
@@ -95,45 +154,32 @@ def _emit_open(method: Method, group: int = GROUP, most: int = 1 << 19) -> Stage
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        seen: dict[bytes, list] = {}  # digest: row identity, start, single, whether met again
+        seen: dict[bytes, list] = {}  # digest: row identity, start, single, whether to be reported when met again
 
-        def leave() -> None:
-            for d, (rid, rth, start, single, _) in seen.items():
-                out.append((rid, rth, start, 1, 0, single, int.from_bytes(d[:8], "little", signed=True), WINDOW, d))
-            seen.clear()
+        def known(rid: int, rth: int, start: int) -> None:
+            out.append((rid, rth, start, 1, 0, True, rid * 31 + start & 0x7FFFFFFF, KNOWN, b""))
 
-        def window(d: bytes, rid: int, rth: int, start: int, single: bool) -> None:
-            known = lambda i, t, s: (i, t, s, 1, 0, True, i * 31 + s, KNOWN, b"")
-            before = seen.get(d)
-            if before is None:
-                seen[d] = [rid, rth, start, single, False]
-                return
-            if before[3]:
-                out.append(known(*before[:3]))
-                before[3] = False
-            if single:
-                out.append(known(rid, rth, start))
+        def leave() -> Iterator[pa.RecordBatch]:
+            out.extend((rid, rth, start, 1, 0, single, _number(d), WINDOW, d) for d, (rid, rth, start, single, _) in seen.items())
+            seen.clear()
+            for i in range(0, len(out), 5000):
+                yield _rows(out[i : i + 5000])
+            out.clear()
 
         for batch in batches:
-            raw, offsets = text_bytes(batch.column("text"))
-            rid, rth = (batch.column(c).to_pylist() for c in ("rid", "rth"))
-            for row, units in enumerate(batch.column("units").to_pylist()):
-                cut = method.cutter(raw[offsets[row] : offsets[row + 1]])
-                for u in units:
-                    body = cut(u["start"], u["n"] - 1 + method.window)
-                    if u["variants"] <= group:
-                        out.append((rid[row], rth[row], u["start"], u["n"], u["lead"], u["single"], u["key"], TEXT, body))
-                    else:
-                        for i, w in enumerate(method.windows(body, u["n"])):
-                            window(digest(w), rid[row], rth[row], u["start"] + i, u["single"])
-                    if len(seen) > most:
-                        leave()
-                    if len(out) > 2000:
-                        yield _rows(out)
-                        out.clear()
-        leave()
-        for i in range(0, len(out), 5000):
-            yield _rows(out[i : i + 5000])
+            for u in batch.to_pylist():
+                for i, w in enumerate(method.windows(u["body"], u["n"])):
+                    before = seen.setdefault(d := digest(w), here := [u["rid"], u["rth"], u["start"] + i, u["single"], u["single"]])
+                    if before is here:
+                        continue
+                    if before[4]:
+                        known(*before[:3])
+                        before[4] = False
+                    if u["single"]:
+                        known(*here[:3])
+            if len(seen) > most or len(out) > 5000:
+                yield from leave()
+        yield from leave()
 
     return run
 
@@ -201,27 +247,42 @@ def _resolve(method: Method, buffer: int = BUFFER) -> Stage:
     return run
 
 
-def repeated_windows(docs: DataFrame, method: Method) -> DataFrame:
+def _told_apart(units: DataFrame, name: str, *more: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of units: the different ones with one place each (``first``), keys with several, and those that come again."""
+    first = F.min(F.struct("rid", "rth", "start", "n", "lead", *more)).alias("first")
+    variants = stored(units.groupBy(*ENTRY).agg(F.count(F.lit(1)).alias("times"), first), f"{name}-variants")
+    crowds = stored(variants.groupBy("key").agg(F.count(F.lit(1)).alias("variants")).filter("variants > 1"), f"{name}-crowds")
+    return variants, crowds, stored(variants.filter("times > 1").select(*ENTRY, "times"), f"{name}-copied")
+
+
+def repeated_windows(docs: DataFrame, method: Method, group: int = GROUP) -> DataFrame:
     """Per row identity, ``spans``: the runs (start, n) of window starts whose window also starts anywhere else."""
     small_batches(docs.sparkSession)
     rows = identified(docs).select("rid", "rth", "text")
+    span = ["rid", "rth", "start", "n"]
     units = rows.mapInArrow(tidy(_emit_units(method)), UNITS)
-    entry = ["key", "one", "two"]
     # Computing units again costs less than keeping those, most of them, whose key occurs once.
     keys = stored(units.groupBy("key").agg(F.count(F.lit(1)).alias("total")).filter("total > 1"), "keys")
     units = stored(spread_join(units, keys, ["key"], "total", "left_semi"), "units")
-    first = F.min(F.struct("rid", "rth", "start", "n", "lead")).alias("first")
-    variants = stored(units.groupBy(*entry).agg(F.count(F.lit(1)).alias("times"), first), "variants")
-    crowds = stored(variants.groupBy("key").agg(F.count(F.lit(1)).alias("variants")).filter("variants > 1"), "crowds")
-    copied = stored(variants.filter("times > 1").select(*entry, "times"), "copied")
-    whole = spread_join(units, copied, entry, "times", "left_semi").select("rid", "rth", "start", "n")
+    variants, crowds, copied = _told_apart(units, "units")
+    whole = spread_join(units, copied, ENTRY, "times", "left_semi").select(*span)
     unit = F.struct("first.start", "first.n", "first.lead", "key", (F.col("times") == 1).alias("single"), "variants").alias("unit")
     unsure = spread_join(variants, crowds, ["key"], "variants").select("first.rid", "first.rth", unit).groupBy("rid", "rth").agg(F.collect_list("unit").alias("units"))
     # One row for each text: rows that are equal in id and text give the same symbols.
-    texts = rows.join(unsure.hint("shuffle_hash"), ["rid", "rth"]).mapInArrow(tidy(_emit_open(method)), OPEN)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = texts.repartition(parts, "deal").sortWithinPartitions("deal").mapInArrow(tidy(_resolve(method)), SPANS)
-    return whole.unionByName(edges).groupBy("rid", "rth").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    texts = stored(rows.join(unsure.hint("shuffle_hash"), ["rid", "rth"]).mapInArrow(tidy(_emit_open(method, group)), OPEN), "texts")
+
+    parts = stored(texts.filter(F.col("kind") == CROWDED).mapInArrow(tidy(_emit_parts(method)), PARTS), "parts")
+    variants, crowds, copied = _told_apart(parts, "parts", "single", "body")
+    inside = spread_join(parts.filter("single").select(*span, *ENTRY), copied, ENTRY, "times", "left_semi").select(*span)
+    # Parts that come again are repeats as a whole, so only the others are asked about.
+    single = (F.col("first.single") & (F.col("times") == 1)).alias("single")
+    unsure = spread_join(variants, crowds, ["key"], "variants").select(*(f"first.{c}" for c in [*span, "lead"]), single, F.col("key").alias("deal"), F.lit(TEXT).alias("kind"), "first.body", "variants")
+    compared = texts.filter(F.col("kind") == TEXT).unionByName(unsure.filter(F.col("variants") <= group).drop("variants"))
+    windows = unsure.filter(F.col("variants") > group).mapInArrow(tidy(_emit_windows(method)), OPEN)
+
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = compared.unionByName(windows).repartition(partitions, "deal").sortWithinPartitions("deal").mapInArrow(tidy(_resolve(method)), SPANS)
+    return whole.unionByName(inside).unionByName(edges).groupBy("rid", "rth").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 
 def covered(spans: list[dict] | None, length: int, window: int) -> np.ndarray:
