@@ -94,7 +94,7 @@ class WordTokenizer:
     def _learn(self, words: list[str]) -> None:
         plain, other, pieces, shown = [], [], [], []
         match = self._plain.fullmatch
-        for i, w in enumerate(words := [w.rstrip(" \t\n\r\x0b\x0c") for w in words]):
+        for i, w in enumerate(words):
             if w.isascii() and w.isalpha():
                 plain.append(i)
                 pieces.append(1)
@@ -138,7 +138,6 @@ class WordTokenizer:
             return np.full(len(texts), END_ID, np.uint16), lengths
         if len(self.index) > REMEMBERED:
             self._forget()
-        # White space goes with the segment before it, so segments lie in the buffer without gaps.
         edges = np.append(starts, len(raw)).astype(np.int64)
         joined = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(edges), pa.py_buffer(raw)).dictionary_encode()
         words = joined.dictionary.to_pylist()
@@ -160,7 +159,7 @@ class WordTokenizer:
 
 
 def _segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes, where segments begin, and the first segment of each text.
+    """The bytes without white space, where segments begin, and the first segment of each text.
 
     A text of ASCII and Latin-1 letters without apostrophes, angle brackets and control characters is put in lower
     case and cut where letters, digits and punctuation meet, as the pre-tokeniser would do; any other text only after white space.
@@ -185,8 +184,9 @@ def _segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     before = np.concatenate((np.zeros(1, np.uint8), kind[:-1]))
     begins = (before == 0) | (simple & (kind != before))
     begins[offsets[:-1][offsets[:-1] < len(raw)]] = True
-    starts = np.flatnonzero(begins & (kind != 0))
-    return raw, starts, np.searchsorted(starts, offsets)
+    solid = kind != 0
+    cuts = np.searchsorted(np.flatnonzero(begins & solid), offsets)
+    return raw[solid], np.flatnonzero(begins[solid]), cuts
 
 
 def _slots(pairs: np.ndarray) -> np.ndarray:
