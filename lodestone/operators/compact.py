@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import format_bytes, js_trim, let, lines
 
 _ANY = "[^\\n\\r\\u2028\\u2029]"
+#: Fixed value: lines that are grouped, as prefix, message and line number. The notes below are fixed values too.
 ERROR = f"(?i)\\A({_ANY}*?(?:error|warning|ERR|WARN)[:\\s])\\s*({_ANY}+?)(?:\\s+(?:at|in|on)\\s+(?:line\\s+)?([0-9]+))?\\z"
 
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import code_point, js_trim
 
-#: Elements dropped with their content.
+#: Elements dropped with their content.
 DROPPED = ("script", "style", "nav", "header", "footer")
 _LINE = "[^\\n\\r\\u2028\\u2029]*?"
 
-#: Pattern and replacement, in order; a pattern's ``.`` stays within a line unless it is written out.
+#: Pattern and replacement, in order; a pattern's ``.`` stays within a line unless it is written out.
 REWRITES: tuple[tuple[str, str], ...] = (
     *((f"(?i)<{t}[^>]*>[\\s\\S]*?</{t}>", "") for t in DROPPED),
     *((f"(?i)<h{n}[^>]*>({_LINE})</h{n}>", "#" * n + " $1\n") for n in (1, 2, 3, 4)),
@@ -23,7 +23,7 @@ REWRITES: tuple[tuple[str, str], ...] = (
     ("(?i)<br\\s*/?>", "\n"),
     ("<[^>]+>", ""),
 )
-#: Named entities in order; the ampersand comes after the numeric ones, so nothing is decoded twice.
+#: Named entities in order; the ampersand comes after the numeric ones, so nothing is decoded twice.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "))
 
 
