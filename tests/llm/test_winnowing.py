@@ -1,8 +1,7 @@
-"""Winnowing against a plain version; match guarantee; the next document over ranges; no Python in the plan."""
+"""Winnowing against a plain version; match guarantee; the next document over ranges; long and unspaced texts."""
 
 import hashlib
 import random
-import re
 
 import pytest
 
@@ -43,30 +42,52 @@ def test_few(spark, n):
     assert len(got) == n and all(g.near_next == 1.0 for g in got)
 
 
-def test_choice_and_guarantee(spark):
-    rows = corpus(2, 60)
-    found = {}
-    for r in m.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 3, 4).select("text", "chosen", m.positions(m.F.col("chosen")).alias("at"), m.hashes(m.F.col("chosen")).alias("h"), m.shown(m.F.col("chosen")).alias("s")).collect():
-        found[r.text] = r
-    gram_hash = {}
-    for t, r in found.items():
-        words = re.findall(r"[^\x20\x09-\x0D]+", t)
-        grams = [tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
-        assert r.at == sorted(r.at) and all(0 <= p < len(grams) for p in r.at) and len(r.chosen) == (len(r.s.split(",")) if r.s else 0)
-        for x, p in zip(r.chosen, r.at, strict=True):
-            assert gram_hash.setdefault(grams[p], x >> 32) == x >> 32
-    for t, r in found.items():  # each window has its least, rightmost where hashes are known
-        words = re.findall(r"[^\x20\x09-\x0D]+", t)
-        grams = [tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
-        for i in range(max(1, len(grams) - 3) if grams else 0):
-            inside = [p for p in r.at if i <= p < i + 4]
-            assert inside
-            best = min(gram_hash[grams[p]] for p in inside)
-            assert all(gram_hash[grams[p]] > best or p <= max(q for q in inside if gram_hash[grams[q]] == best) for p in range(i, min(i + 4, len(grams))) if grams[p] in gram_hash)
-
-
-def test_empty_and_native(spark):
+def brute(text, k, window):
+    """(position, gram) chosen by looking at every window in turn."""
+    grams = [text[i : i + k] for i in range(max(1, len(text) - k + 1))] if text else []
+    value = lambda g: int(m.fingerprint(g, len(g), 1)[0]) >> 32
+    out = []
+    for i in range(max(1, len(grams) - window + 1) if grams else 0):
+        inside = range(i, min(i + window, len(grams)))
+        at = min(inside, key=lambda p: (value(grams[p]), -p))
+        if not out or out[-1][0] != at:
+            out.append((at, value(grams[at])))
+    return out
+
+
+def test_choice(spark):
+    r = random.Random(3)
+    texts = [t or "" for _, t in corpus(2, 40)] + ["a" * 50, "ab" * 40, "日本語" * 20] + ["".join(r.choice("ab") for _ in range(80)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for k, window in ((3, 4), (5, 1), (16, 32)):
+        got = m.fingerprints(docs, k, window).select("text", m.positions(m.F.col("chosen")).alias("at"), m.F.transform("chosen", lambda x: m.F.shiftright(x, 32)).alias("h"), m.shown(m.F.col("chosen")).alias("s")).collect()
+        for row in got:
+            assert list(zip(row.at, row.h, strict=True)) == brute(row.text, k, window)
+            assert row.s == ",".join(f"{h & 0xFFFFFFFF:08x}@{p}" for p, h in zip(row.at, row.h, strict=True))
+
+
+def test_ties_go_right():
+    assert [(1 << 31) - 2 - (int(x) & 0xFFFFFFFF) for x in m.fingerprint("a" * 12, 3, 4)] == list(range(3, 10))
+
+
+def test_guarantee():
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abcdefgh日é ") for _ in range(n))
+    for _ in range(300):
+        k, window = r.randint(1, 20), r.randint(1, 20)
+        shared = word(k + window - 1)
+        a, b = (word(r.randint(0, 60)) + shared + word(r.randint(0, 60)) for _ in range(2))
+        assert {int(x) >> 32 for x in m.fingerprint(a, k, window)} & {int(x) >> 32 for x in m.fingerprint(b, k, window)}
+
+
+def test_unspaced_and_long(spark):
+    r = random.Random(5)
+    unspaced = "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(4000))
+    long = "".join(r.choice("abcdefghij ") for _ in range(1_500_000))
+    rows = {g.doc_id: g for g in m.edited_likeness(spark.createDataFrame([(3, unspaced), (2, long), (1, None)], "doc_id long, text string")).collect()}
+    assert rows[3].near_edited > 0.25 and rows[2].n_chars == 1_500_000 and rows[1].fingerprint == "" and rows[2].near_edited > 0.4 and rows[1].near_next == 0.0
+
+
+def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert m.edited_likeness(none).collect() == []
-    plan = m.edited_likeness(spark.range(5).selectExpr("id AS doc_id", "'a b c' AS text"))._jdf.queryExecution().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
