@@ -10,12 +10,16 @@ LOCAL_SHARED_DIR = "/tmp/checkpoints/lodestone"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written under ``spark.checkpoint.dir`` (set here only where unset) and read back; cuts plan and lineage."""
+    """``df`` written under ``spark.checkpoint.dir`` and read back; cuts plan and lineage.
+
+    Where that is unset, a folder of this machine serves if all executors run on it, and anything else is an error.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = LOCAL_SHARED_DIR
-        spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/lodestone-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
