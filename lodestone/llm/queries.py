@@ -89,4 +89,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Words that are covered by a window of 35 whose sequence starts anywhere else are left out.
+_REPEATED_WORDS = """WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+starts AS (SELECT r, unnest(range(1, len(ws) - 33)) AS i, ws FROM w WHERE len(ws) >= 35),
+grams AS (SELECT r, i, array_to_string(ws[i : i + 34], ' ') AS g FROM starts),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS n FROM grams) WHERE n > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM again),
+lists AS (SELECT r, list(p) AS ps FROM gone GROUP BY r),
+words AS (SELECT r, p, ws[p] AS word FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS p FROM w)),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN lists USING (r) LEFT JOIN kept USING (r)"""
+ORACLE_SQL: dict[str, str] = {"op10_substring_dedup": _REPEATED_WORDS}
