@@ -77,6 +77,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(read_table(spark, sf_dir, "documents"), window=35)
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.token_counts import token_counts
+
+    return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_winnowing": op2_winnowing,
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_token_counts": op13_token_counts,
 }
 #: Words that are covered by a window of 35 whose sequence starts anywhere else are left out.
 _REPEATED_WORDS = """WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
