@@ -77,6 +77,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(read_table(spark, sf_dir, "documents"), window=35)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.conversation_repair import repair_damaged
+
+    return repair_damaged(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.token_counts import token_counts
 
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_token_counts": op13_token_counts,
 }
 #: Words that are covered by a window of 35 whose sequence starts anywhere else are left out.
@@ -107,4 +114,40 @@ words AS (SELECT r, p, ws[p] AS word FROM (SELECT r, ws, unnest(range(1, len(ws)
 kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN lists USING (r) LEFT JOIN kept USING (r)"""
-ORACLE_SQL: dict[str, str] = {"op10_substring_dedup": _REPEATED_WORDS}
+
+
+def _repaired() -> str:
+    """Damage, faults, and the cheapest edits by a walk over the turns that keeps, for each last role, the cheapest audit so far.
+
+    A state is one string, nine digits of cost and then the audit, so that the least string is the cheapest and then least in ASCII.
+    """
+    add = lambda state, cost, edit: f"(printf('%09d', CAST(left({state}, 9) AS BIGINT) + ({cost})) || substr({state}, 10) || '{edit}')"
+    before_user, before_assistant = f"least(z, s, a, {add('u', 5, 'I')})", f"least(u, {add('z', 5, 'I')}, {add('s', 5, 'I')}, {add('a', 5, 'I')})"
+    keep = lambda state, initial: f"CASE WHEN fault IN (0, 3) AND r = '{initial}' THEN {add(state, 'm', 'K')} END"
+    rerole = lambda state: f"CASE WHEN fault IN (0, 3) THEN {add(state, 'm + 1', 'R')} END"
+    crc = "xor(4294967295, list_reduce([4294967295] || list_transform(string_split(k, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda c, b: list_reduce([xor(c, b)] || [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"
+    return f"""WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kinds AS (SELECT conv_id, turn, role, text, {crc} % 20 AS h FROM keyed),
+damaged AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE h <> 0),
+placed AS (SELECT *, left(role, 1) AS r, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM damaged),
+faulty AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN seen > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault, lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS last FROM placed),
+priced AS (SELECT *, CASE WHEN fault = 3 THEN 5 ELSE 0 END AS m FROM faulty),
+states AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS z, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS a FROM conversations
+UNION ALL SELECT d.conv_id, d.i + 1, {add('z', 2, 'D')}, least({add('s', 2, 'D')}, {keep('z', 's')}),
+  least({add('u', 2, 'D')}, {keep(before_user, 'u')}, {rerole(before_user)}), least({add('a', 2, 'D')}, {keep(before_assistant, 'a')}, {rerole(before_assistant)})
+  FROM states d JOIN priced p ON p.conv_id IS NOT DISTINCT FROM d.conv_id AND p.i = d.i + 1),
+whole AS (SELECT conv_id, least(z, {add('s', 10, 'II')}, {add('u', 5, 'I')}, a) AS best FROM states QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+letters AS (SELECT conv_id, p, substr(best, CAST(9 + p AS BIGINT), 1) AS e FROM (SELECT conv_id, best, unnest(range(1, length(best) - 8)) AS p FROM whole)),
+numbered AS (SELECT *, sum(CASE WHEN e = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY p) AS i FROM letters),
+met AS (SELECT n.conv_id, n.p, n.e, CASE WHEN n.e <> 'I' THEN t.role END AS role, CASE WHEN n.e = 'I' THEN '' ELSE t.text END AS text, CASE WHEN n.e = 'K' AND t.r = 's' THEN 0 ELSE 1 END AS spoken
+  FROM numbered n LEFT JOIN placed t ON t.conv_id IS NOT DISTINCT FROM n.conv_id AND t.i = n.i WHERE n.e <> 'D'),
+said AS (SELECT *, sum(spoken) OVER (PARTITION BY conv_id ORDER BY p) AS nth FROM met),
+texts AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN nth % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS t FROM said GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+  count(*) FILTER (last IS NOT NULL AND last || r NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id)
+SELECT w.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(left(best, 9) AS BIGINT) AS cost, substr(best, 10) AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM whole w LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id LEFT JOIN texts x ON x.conv_id IS NOT DISTINCT FROM w.conv_id"""
+
+
+ORACLE_SQL: dict[str, str] = {"op10_substring_dedup": _REPEATED_WORDS, "op11_conversation_repair": _repaired()}
