@@ -83,6 +83,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_damaged(read_table(spark, sf_dir, "conversations"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.ranked_search import ranked_search
+
+    return ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.token_counts import token_counts
 
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_ranked_search": op12_ranked_search,
     "op13_token_counts": op13_token_counts,
 }
 #: Words that are covered by a window of 35 whose sequence starts anywhere else are left out.
@@ -150,4 +157,19 @@ SELECT w.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM whole w LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id LEFT JOIN texts x ON x.conv_id IS NOT DISTINCT FROM w.conv_id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op10_substring_dedup": _REPEATED_WORDS, "op11_conversation_repair": _repaired()}
+def _ranked() -> str:
+    """The score of every document with a term of the item."""
+    words = lambda x: f"regexp_extract_all(translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {words('text')} AS ws FROM documents),
+whole AS (SELECT count(*) AS big_n, CAST(coalesce(sum(len(ws)), 0) AS BIGINT) AS big_l FROM docs WHERE len(ws) > 0),
+items AS (SELECT row_number() OVER () AS q, item_id, list_distinct({words('text')}) AS ts FROM benchmark),
+asked AS (SELECT q, item_id, unnest(ts) AS term FROM items),
+each AS (SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n, unnest(ws) AS term FROM docs),
+posts AS (SELECT r, doc_id, n, term, count(*) AS tf FROM each WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY term),
+parts AS (SELECT r, doc_id, term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))) AS part FROM posts JOIN dfs USING (term), whole),
+scores AS (SELECT q, item_id, r, doc_id, CAST(sum(part) AS BIGINT) AS score FROM asked JOIN parts USING (term) GROUP BY ALL HAVING sum(part) > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scores) WHERE rank <= 50"""
+
+
+ORACLE_SQL: dict[str, str] = {"op10_substring_dedup": _REPEATED_WORDS, "op11_conversation_repair": _repaired(), "op12_ranked_search": _ranked()}
