@@ -112,7 +112,7 @@ def test_numbers_in_seven_bits():
 
 
 def test_empty_tables(spark):
-    docs, items = corpus(5)
+    docs, items = corpus(50)
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert found(rs.ranked_search(d.limit(0), i)) == []
     assert found(rs.ranked_search(d, i.limit(0))) == []
