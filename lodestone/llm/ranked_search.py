@@ -101,7 +101,7 @@ def shard_rows(shard: int, ids: list[int | None], texts: list[str], n_docs: int,
     term_at = np.searchsorted(term, np.arange(len(order) + 1))
     place = np.arange(len(term)) - np.repeat(term_at[:-1], np.diff(term_at))
     first = np.flatnonzero(place % BLOCK == 0)
-    last = np.append(first[1:], len(term)) - 1
+    last = np.append(first, len(term))[1:] - 1
     values = np.stack([np.diff(doc, prepend=0), tf], axis=1).reshape(-1)
     body, at = packed(np.delete(values, 2 * first))
     begin = at[2 * first - np.arange(len(first))]  # of each block, whose first posting has no gap
