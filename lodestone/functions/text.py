@@ -87,15 +87,19 @@ def like_source(label: Column, pattern: Column) -> Column:
     return F.like(F.translate(label, upper, low), F.concat(F.lit("%"), escaped, F.lit("%")))
 
 
-def substring_count(text: Column, word: Column) -> Column:
+def overlaps_itself(word: Column) -> Column:
+    """Whether a word begins as it ends, so that two occurrences can overlap."""
+    n = F.char_length(word)
+    return F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: (k < n) & (F.substring(word, F.lit(1), k) == F.right(word, k)))
+
+
+def substring_count(text: Column, word: Column, overlaps: Column | None = None) -> Column:
     """Occurrences of a word in a text, overlapping ones too.
 
-    Only a word that begins as it ends can overlap itself; others are counted by what their removal takes away.
+    A word that can't overlap itself is counted by what its removal takes away. ``overlaps`` is ``overlaps_itself``, if that is known.
     """
-    n = F.char_length(word)
-    borders = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: (k < n) & (F.substring(word, F.lit(1), k) == F.right(word, k)))
     apart = ((F.octet_length(text) - F.octet_length(F.replace(text, word, F.lit("")))) / F.octet_length(word)).cast("int")
-    return F.when(~borders, apart).otherwise(_overlapping(text, word))
+    return F.when(~(overlaps_itself(word) if overlaps is None else overlaps), apart).otherwise(_overlapping(text, word))
 
 
 def _overlapping(text: Column, word: Column) -> Column:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import chunk as ch
-from lodestone.operators.compact import compact_label
-from lodestone.operators.search import word_search
-from lodestone.operators.session import hint_list, tool_counts
-from lodestone.operators.snippet import with_snippets
+from lodestone.operators.compact import compact_label, within_budget
+from lodestone.operators.indexed import cascade
+from lodestone.operators.session import hint_list, throttle, tool_counts
 from lodestone.operators.terms import distinctive_terms
+from lodestone.sources.options import Options
 from lodestone.sources.shared import stored
+from lodestone.sources.store import Store
 
 HINT = "\nUse search(queries: [...]) to retrieve full content of any section."
 
@@ -21,18 +21,19 @@ def _in_order(value: Column, order: Column) -> Column:
     return F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda x: x["v"])
 
 
-def intent_filter(outputs: DataFrame, threshold: int = 5_000, level: str = "normal", stemmed: bool = True, limit: int = 3) -> DataFrame:
+def intent_filter(store: Store, outputs: DataFrame, threshold: int = 5_000, level: str = "normal", stemmed: bool = True, limit: int = 3) -> DataFrame:
     """doc_id, text: outputs up to ``threshold`` bytes as they are, larger ones as what matches their intent.
 
-    ``outputs`` has doc_id, source, text, intent. Large outputs are chunked and searched all together, not each in itself.
+    ``outputs`` has doc_id, source, text, intent. Large outputs go into the store in one commit, and intents search all that is there.
     """
     size = F.octet_length("text")
     small = outputs.filter(size <= threshold).select("doc_id", "text")
     large = outputs.filter(size > threshold)
-    chunks = ch.chunk(large)
     queries = large.select(F.col("doc_id").alias("query_id"), F.col("intent").alias("query"), F.lit(None).cast("string").alias("source"), F.lit(limit).alias("k"))
-    hits = stored(word_search(chunks, queries, stemmed), "intent")
-    found = with_snippets(hits, queries, stemmed).withColumn("line", F.concat(F.lit("  - **"), "title", F.lit("**: "), F.substring("snippet", 1, 200), F.lit("\n")))
+    commit = store.index(large)
+    chunks = store.snapshot().chunks.filter(F.col("commit") == commit)
+    hits = stored(cascade(store, queries, stemmed), "intent")
+    found = hits.withColumn("line", F.concat(F.lit("  - **"), "title", F.lit("**: "), F.substring("snippet", 1, 200), F.lit("\n")))
     matched = found.groupBy(F.col("query_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"), F.array_join(_in_order(F.col("line"), F.col("rank")), "").alias("hits"))
     counts = chunks.groupBy(F.col("source_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("sections"))
     terms = distinctive_terms(chunks, by_source=True).groupBy(F.col("source_id").alias("doc_id")).agg(F.array_join(_in_order(F.col("word"), F.col("rank")), ", ").alias("terms"))
@@ -52,12 +53,36 @@ def batch_text(outputs: DataFrame) -> DataFrame:
     return outputs.groupBy("batch_id").agg(F.array_join(_in_order(section, F.col("ord")), "").alias("text"))
 
 
-def scoped_search(chunks: DataFrame, queries: DataFrame, source: str, limit: int = 5, stemmed: bool = True) -> DataFrame:
-    """Hits within the sources that ``source`` names; for queries without any, hits from everywhere. Adds ``scope``."""
-    inside = queries.withColumns({"source": F.lit(source), "k": F.lit(limit)})
-    first = stored(word_search(chunks, inside, stemmed), "scoped")
-    left = queries.withColumns({"source": F.lit(None).cast("string"), "k": F.lit(limit)}).join(first.select("query_id").distinct(), "query_id", "left_anti")
-    return first.withColumn("scope", F.lit("source")).unionByName(word_search(chunks, left, stemmed).withColumn("scope", F.lit("all")))
+BLOCKED = "Too many search calls in quick succession. Use batch_execute instead to run commands and search in one call."
+
+
+def result_blocks(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, block: the results of ``cascade`` as text, one block for each query, in order of rank."""
+    text = F.concat(F.lit("\n--- ["), "label", F.lit("] ---\n### "), "title", F.lit("\n\n"), "snippet", F.lit("\n"))
+    per = hits.groupBy("query_id").agg(F.array_join(_in_order(text, F.col("rank")), "").alias("found"), F.max("corrected").alias("corrected"))
+    note = F.when(F.col("corrected").isNotNull(), F.concat(F.lit('(corrected to: "'), "corrected", F.lit('")\n'))).otherwise("")
+    block = F.concat(F.lit("## "), "query", F.lit("\n"), note, F.coalesce("found", F.lit("No results found.\n")))
+    return queries.join(per, "query_id", "left").select("query_id", block.alias("block"))
+
+
+def search_calls(store: Store, calls: DataFrame, queries: DataFrame, options: Options | None = None, stemmed: bool = True) -> DataFrame:
+    """call_id, calls_in_window, output: whole search calls, answered together.
+
+    ``calls`` has call_id, ts, source, limit; ``queries`` has call_id, ord, query. The window of calls decides how many hits
+    each query of a call gets, or that the call is refused. Blocks follow in order as long as those before are within the byte budget; a call
+    that was cut down says so at its end.
+    """
+    o = options or Options()
+    counted = throttle(calls, o.search_window_ms, o.search_reduce_after, o.search_block_after, o.search_limit)
+    n = F.col("calls_in_window")
+    k = F.when(n > o.search_reduce_after, 1).otherwise(F.least(F.coalesce("limit", F.lit(o.search_limit)), F.lit(o.search_limit)))
+    counted = stored(counted.select("call_id", "calls_in_window", "source", k.cast("int").alias("k")), "calls")
+    asked = queries.join(counted.filter(n <= o.search_block_after), "call_id").select(F.struct("call_id", "ord").alias("query_id"), "query", "source", "k")
+    blocks = result_blocks(cascade(store, asked, stemmed), asked).select("query_id.call_id", "query_id.ord", "block")
+    kept = within_budget(blocks, o.search_max_bytes, ["call_id"], ["ord"]).groupBy("call_id").agg(_in_order(F.col("block"), F.col("ord")).alias("blocks"))
+    notice = F.concat(F.lit("\n⚠ Search rate limited ("), n.cast("string"), F.lit(f" calls in {o.search_window_ms / 1000:g}s). Results reduced to 1 per query."))
+    parts = F.concat(F.coalesce("blocks", F.array().cast("array<string>")), F.when(n > o.search_reduce_after, F.array(notice)).otherwise(F.array().cast("array<string>")))
+    return counted.join(kept, "call_id", "left").select("call_id", "calls_in_window", F.when(n > o.search_block_after, BLOCKED).otherwise(F.array_join(parts, "\n---\n\n")).alias("output"))
 
 
 def discovery(chunks: DataFrame, calls: DataFrame, n_words: DataFrame) -> DataFrame:

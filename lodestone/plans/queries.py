@@ -12,12 +12,16 @@ from lodestone.operators import chunk as ch
 from lodestone.operators import compact as co
 from lodestone.operators import fuzzy as fz
 from lodestone.operators import html as ht
+from lodestone.operators import indexed as ix
 from lodestone.operators import predicates as pr
 from lodestone.operators import report as re_
 from lodestone.operators import search as se
 from lodestone.operators import session as ss
 from lodestone.operators import snippet as sn
 from lodestone.operators import terms as te
+from lodestone.sources.options import Options
+from lodestone.sources.shared import file_mark, scratch_path
+from lodestone.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +40,21 @@ def doc_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return ch.chunk(table(spark, folder, "documents"))
 
 
+#: Stores made in this application, by the state of the files that they index.
+STORES: dict[tuple[str, int], Store] = {}
+
+
+def doc_store(spark: SparkSession, folder: str) -> Store:
+    """The stored index of ``documents``, made when first asked for; another one once the table's files have changed."""
+    docs = table(spark, folder, "documents")
+    key = (spark.sparkContext.applicationId, file_mark(docs))
+    if key not in STORES:
+        store = Store(spark, scratch_path(spark, "store"), vocabulary_limit=None)
+        store.index(docs)
+        STORES[key] = store
+    return STORES[key]
+
+
 def page_documents(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     return pages.select(F.col("page_id").alias("doc_id"), F.col("url").alias("source"), ht.html_to_markdown(F.col("html")).alias("text"))
@@ -99,30 +118,30 @@ def sanitize_query(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return ranked(se.word_search(doc_chunks(spark, folder), benchmark_queries(spark, folder)))
+    return ranked(ix.word_search(doc_store(spark, folder).snapshot(), benchmark_queries(spark, folder)))
 
 
 @query
 def bm25_source_filter(spark: SparkSession, folder: str) -> DataFrame:
     queries = benchmark_queries(spark, folder).withColumn("source", F.lit("SRC1"))
-    return ranked(se.word_search(doc_chunks(spark, folder), queries))
+    return ranked(ix.word_search(doc_store(spark, folder).snapshot(), queries))
 
 
 @query
 def phrase_match(spark: SparkSession, folder: str) -> DataFrame:
-    return se.phrase_hits(doc_chunks(spark, folder), benchmark_queries(spark, folder, 2, "-"))
+    return ix.phrase_hits(doc_store(spark, folder).snapshot(), benchmark_queries(spark, folder, 2, "-")).drop("commit", "dl")
 
 
 @query
 def stemmed_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return ranked(se.word_search(doc_chunks(spark, folder), benchmark_queries(spark, folder), stemmed=True))
+    return ranked(ix.word_search(doc_store(spark, folder).snapshot(), benchmark_queries(spark, folder), stemmed=True))
 
 
 @query
 def substring_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Queries are inner parts of words, which no token equals."""
     q = benchmark_queries(spark, folder, 2).withColumn("query", F.concat_ws(" ", F.substring(F.split_part("query", F.lit(" "), F.lit(1)), 1, 4), F.substring(F.split_part("query", F.lit(" "), F.lit(2)), 2, 4)))
-    return ranked(se.substring_search(doc_chunks(spark, folder), q))
+    return ranked(ix.substring_search(doc_store(spark, folder).with_grams(), q))
 
 
 def misspelled(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,27 +163,23 @@ def fuzzy_correct(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def search_cascade(spark: SparkSession, folder: str) -> DataFrame:
     q = benchmark_queries(spark, folder).unionByName(misspelled(spark, folder).withColumn("query_id", F.col("query_id") + 1_000_000))
-    found = se.cascade(doc_chunks(spark, folder), q, fz.vocabulary(table(spark, folder, "documents")))
-    return found.select("query_id", "rank", "layer", "source_id", "chunk_ord", "title", F.round("score", 6).alias("score"), "corrected")
+    found = ix.cascade(doc_store(spark, folder), q)
+    return found.select("query_id", "rank", "layer", "source_id", "chunk_ord", "title", F.round("score", 6).alias("score"), "corrected", "snippet")
 
 
 @query
 def snippets(spark: SparkSession, folder: str) -> DataFrame:
     q = benchmark_queries(spark, folder)
-    hits = se.word_search(doc_chunks(spark, folder), q)
+    hits = ix.word_search(doc_store(spark, folder).snapshot(), q)
     return sn.with_snippets(hits, q).select("query_id", "rank", "source_id", "chunk_ord", "snippet")
 
 
 @query
-def search_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Rendered results of all queries in order, within the byte budget."""
-    q = benchmark_queries(spark, folder)
-    hits = sn.with_snippets(se.word_search(doc_chunks(spark, folder), q), q)
-    text = F.concat(F.lit("\n--- ["), "label", F.lit("] ---\n### "), "title", F.lit("\n\n"), "snippet", F.lit("\n"))
-    per = hits.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", text.alias("t")))), lambda x: x["t"]), "").alias("found"))
-    block = F.concat(F.lit("## "), "query", F.lit("\n"), F.coalesce("found", F.lit("No results found.\n")))
-    blocks = q.join(per, "query_id", "left").select("query_id", F.lit(0).alias("call"), block.alias("block"))
-    return co.within_budget(blocks, 40_960, ["call"], ["query_id"]).select("query_id", "block", "bytes_before")
+def search_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole search calls of five benchmark items each, six seconds apart: some in full, some cut down, some refused."""
+    q = benchmark_queries(spark, folder).select(F.floor(F.col("query_id") / 5).cast("long").alias("call_id"), F.col("query_id").alias("ord"), "query")
+    calls = q.groupBy("call_id").agg(F.timestamp_seconds(F.first("call_id") * 6).alias("ts"), F.lit(None).cast("string").alias("source"), F.lit(3).alias("limit"))
+    return re_.search_calls(doc_store(spark, folder), calls, q, Options())
 
 
 @query
@@ -313,7 +328,7 @@ def discover_report(spark: SparkSession, folder: str) -> DataFrame:
 def intent_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as outputs; the intent is each one's third word and its source."""
     docs = table(spark, folder, "documents").select("doc_id", "source", "text", F.coalesce(F.get(F.split("text", r"\s+"), F.lit(2)), F.lit("")).alias("intent"))
-    return re_.intent_filter(docs, 5_000)
+    return re_.intent_filter(Store(spark, scratch_path(spark, "outputs")), docs, 5_000)
 
 
 @query
@@ -325,8 +340,7 @@ def batch_text(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def scoped_search(spark: SparkSession, folder: str) -> DataFrame:
-    found = re_.scoped_search(doc_chunks(spark, folder), benchmark_queries(spark, folder), "src12", stemmed=False)
-    return ranked(found)
+    return ranked(ix.scoped(doc_store(spark, folder), benchmark_queries(spark, folder), "src12", stemmed=False))
 
 
 @query

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import chunk as ch
 from lodestone.operators import fuzzy as fz
+from lodestone.operators import indexed as ix
 from lodestone.operators import report as rp
+from lodestone.sources.options import Options
+from lodestone.sources.store import Store
 
 
 def outputs(spark):
@@ -14,13 +17,13 @@ def outputs(spark):
     return spark.createDataFrame([(1, "cmd one", "short", "apples"), (2, "cmd two", long, "apples"), (3, "cmd three", long, "zzz")], "doc_id long, source string, text string, intent string")
 
 
-def test_intent_filter(spark):
-    got = {r.doc_id: r.text for r in rp.intent_filter(outputs(spark), threshold=50).collect()}
+def test_intent_filter(spark, tmp_path):
+    got = {r.doc_id: r.text for r in rp.intent_filter(Store(spark, str(tmp_path / "a")), outputs(spark), threshold=50).collect()}
     assert got[1] == "short"
     assert got[2].startswith('Indexed 4 sections from cmd two.\n3 sections matched "apples":\n\n  - **section 0 about apples**: section 0 about apples\nwidget_name apples\n')
     assert "\nSearchable terms: " in got[2] and got[2].endswith(rp.HINT)
     assert '0 sections matched "zzz":\n\n' in got[3]
-    short = {r.doc_id: r.text for r in rp.intent_filter(outputs(spark), threshold=50, level="ultra").collect()}
+    short = {r.doc_id: r.text for r in rp.intent_filter(Store(spark, str(tmp_path / "b")), outputs(spark), threshold=50, level="ultra").collect()}
     assert "**" not in short[2] and "terms" not in short[2] and short[2].endswith("→ search() for more")
 
 
@@ -30,11 +33,42 @@ def test_batch(spark):
     assert got == {1: "## a\n\n(no output)\n\n## b\n\nx\n\n", 2: "## c\n\n(no output)\n\n"}
 
 
-def test_scope(spark):
-    chunks = ch.chunk(outputs(spark))
-    queries = spark.createDataFrame([(1, "plums"), (2, "short")], "query_id int, query string")
-    got = {(r.query_id, r.scope, r.source_id) for r in rp.scoped_search(chunks, queries, "cmd th").collect()}
-    assert got == {(1, "source", 3), (2, "all", 1)}
+def test_an_intent_finds_what_was_stored_before_and_by_any_layer(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.index(spark.createDataFrame([(9, "older", "An older text names quinces.")], "doc_id long, source string, text string"))
+    body = "\n\n".join(f"part {i} of the output on apples" for i in range(4))
+    rows = [(1, "one", body, "quince"), (2, "two", body, "utpu"), (3, "three", body, "aples")]
+    got = {r.doc_id: r.text for r in rp.intent_filter(store, spark.createDataFrame(rows, "doc_id long, source string, text string, intent string"), threshold=50).collect()}
+    assert '1 sections matched "quince":\n\n  - **Output**: An older text names quinces.\n' in got[1]
+    assert '3 sections matched "utpu"' in got[2] and '3 sections matched "aples"' in got[3]
+
+
+def test_scope(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.index(outputs(spark))
+    queries = spark.createDataFrame([(1, "plums"), (2, "short"), (3, "ppl"), (4, "shrt")], "query_id int, query string")
+    got = {(r.query_id, r.scope, r.layer, r.source_id) for r in ix.scoped(store, queries, "cmd th").collect()}
+    assert got == {(1, "source", "word", 3), (2, "all", "word", 1), (3, "source", "substring", 3), (4, "all", "fuzzy", 1)}
+
+
+def test_search_calls(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.index(outputs(spark))
+    start = dt.datetime(2024, 1, 1)
+    calls = [(i, start + dt.timedelta(seconds=i), None, 2) for i in range(10)] + [(20, start + dt.timedelta(hours=1), "cmd two", 9), (21, start + dt.timedelta(hours=2), None, 1)]
+    queries = [(c[0], n, q) for c in calls for n, q in enumerate(["apples", "appels", "zzzz"])]
+    frames = spark.createDataFrame(calls, "call_id long, ts timestamp, source string, limit int"), spark.createDataFrame(queries, "call_id long, ord int, query string")
+    got = {r.call_id: r for r in rp.search_calls(store, *frames).collect()}
+    assert [got[i].calls_in_window for i in range(10)] == list(range(1, 11)) and got[20].calls_in_window == 1
+    first = got[0].output.split("\n---\n\n")
+    assert first[0].startswith("## apples\n\n--- [cmd t") and first[0].count("] ---\n### section") == 2
+    assert first[1].startswith('## appels\n(corrected to: "apples")\n\n--- [') and first[2] == "## zzzz\nNo results found.\n" and len(first) == 3
+    cut = got[3].output.split("\n---\n\n")
+    assert cut[0].count("] ---\n") == 1 and cut[3] == "\n⚠ Search rate limited (4 calls in 60s). Results reduced to 1 per query."
+    assert got[7].output.endswith("(8 calls in 60s). Results reduced to 1 per query.") and got[8].output == got[9].output == rp.BLOCKED
+    assert "cmd three" not in got[20].output and got[20].output.count("] ---\n") == 4  # two sections, for each of two queries
+    tight = {r.call_id: r.output for r in rp.search_calls(store, *frames, Options(search_max_bytes=10)).collect()}
+    assert tight[0] == first[0]
 
 
 def test_discovery(spark):

@@ -200,6 +200,56 @@ def test_hit_positions(spark, chunks):
     assert sn.with_snippets(hits, queries, stemmed=True).filter("query_id = 1").first().snippet == content[1]
 
 
+def marks_of(words, texts):
+    """Offsets of marks as an embedded engine sets them, where it leaves the text whole: its marks of overlapping matches repeat text."""
+    db = sqlite3.connect(":memory:")
+    try:
+        db.execute("CREATE VIRTUAL TABLE t USING fts5(content, tokenize='trigram')")
+    except sqlite3.OperationalError:
+        pytest.skip("no full-text module")
+    db.executemany("INSERT INTO t(rowid, content) VALUES (?, ?)", list(enumerate(texts)))
+    match = " OR ".join(f'"{w}"' for w in words)
+    out = {}
+    for i, marked in db.execute("SELECT rowid, highlight(t, 0, char(2), char(3)) FROM t WHERE t MATCH ?", (match,)):
+        clean, out[i] = 0, []
+        for c in marked:
+            if c == "\x02":
+                out[i].append(clean)
+            clean += c not in "\x02\x03"
+        if marked.replace("\x02", "").replace("\x03", "") != texts[i]:
+            del out[i]
+    return out
+
+
+def merged_marks(words, text):
+    """Where stretches of overlapping matches begin."""
+    low, out, until = text.lower(), [], 0
+    for i in range(len(low)):
+        reach = max((len(w) for w in words if low.startswith(w, i)), default=0)
+        if reach and i >= until:
+            out.append(i)
+        until = max(until, i + reach) if reach else until
+    return out
+
+
+def test_substring_marks_against_engine(spark):
+    import random
+
+    r = random.Random(8)
+    texts = ["".join(r.choices(["ab", "b", "a", "c", " ", "É", "é", "AB", "."], k=r.randint(3, 60))) for _ in range(60)] + ["aaaa", "abcabc", ".\\E(x", "xab"]
+    for words in (["abab"], ["aba", "bab"], ["aaa"], ["abc", "cab", "é a"], ["aab", "aabc"], ["b.a", "\\e("]):
+        df = spark.createDataFrame([(i, t, words) for i, t in enumerate(texts)], "i int, t string, w array<string>")
+        got = {x.i: x.m for x in df.select("i", sn.substring_marks(F.col("t"), F.col("w")).alias("m")).collect() if x.m}
+        assert got == {i: m for i, t in enumerate(texts) if (m := merged_marks(words, t))}, words
+        same = marks_of(words, texts)
+        assert same and {i: got[i] for i in same} == same, words
+
+
+def test_substring_marks_where_lower_case_is_longer(spark):
+    df = spark.createDataFrame([("\u0130\u0130 xabc \u0130abc", ["abc"]), ("\u0130abc", ["i\u0307a"]), ("", ["abc"]), ("abc", [])], "t string, w array<string>")
+    assert [x[0] for x in df.select(sn.substring_marks(F.col("t"), F.col("w"))).collect()] == [[4, 9], [0], [], []]
+
+
 def test_terms(spark):
     texts = ["alpha beta snake_case one", "alpha beta snake_case two", "alpha gamma extraordinarily", "delta the and gamma extraordinarily"]
     frame = spark.createDataFrame([(1 + i // 2, i % 2, "s", "t", t) for i, t in enumerate(texts)], "source_id long, chunk_ord int, label string, title string, content string")
