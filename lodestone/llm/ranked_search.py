@@ -126,8 +126,12 @@ def write_index(docs: DataFrame, path: str | None = None) -> Index:
     small_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    n = F.regexp_count("text", F.lit(TERM)).cast("long")
-    n_docs, n_terms = rows.agg(F.count_if(n > 0), F.coalesce(F.sum(n), F.lit(0))).first()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(t.encode().translate(FOLD).split()) for batch in batches for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_pydict({"docs": pa.array([sum(n > 0 for n in sizes)], pa.int64()), "terms": pa.array([sum(sizes)], pa.int64())})
+
+    n_docs, n_terms = rows.select("text").mapInArrow(tidy(counted), "docs long, terms long").agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
