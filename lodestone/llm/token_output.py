@@ -198,6 +198,7 @@ def compress(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT) -> tup
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     lengths = np.ones(terminals, np.int64)
+    never = np.zeros(0, np.uint32)  # pairs of two equal symbols that are counted twice but can be replaced once
     fresh, still = 0, np.zeros(1 << 20, bool)  # the first new symbol, and slots of pairs that are still frequent
     while len(seq) > 1 and len(lengths) < MOST_SYMBOLS:
         left, right = seq[:-1], seq[1:]
@@ -205,6 +206,8 @@ def compress(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT) -> tup
         open_ = (left != END_ID) & (right != END_ID)
         if fresh:
             open_ &= (left >= fresh) | (right >= fresh) | still[_slots(pair)]
+        if len(never):
+            open_ &= ~np.isin(pair, never)
         place = np.flatnonzero(open_)
         # Hashed counts never undercount, so the frequent pairs are among the places kept here.
         slot = _slots(pair[place])
@@ -228,6 +231,8 @@ def compress(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT) -> tup
             at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
         done = np.bincount(mid[at], minlength=len(order))
         good = done >= max(2, min_count // 2)  # a pair of two equal symbols counts its overlaps as well
+        if not good.any():  # the first in rank holds up the others
+            never = np.append(never, found[order[:1]])
         at = at[good[mid[at]]]
         name = np.cumsum(good) - 1 + len(lengths)
         pairs = found[order[good]]

@@ -83,3 +83,20 @@ def test_16_bit_symbols_run_out(monkeypatch):
     monkeypatch.setattr(m, "MOST_SYMBOLS", 1000)
     with pytest.raises(ValueError, match="16-bit"):
         m.WordTokenizer(PATH)
+
+
+def test_rounds_end_with_pairs_that_overlap_themselves():
+    """Re-Pair's own threshold, two: no pair occurs twice apart in what is left, within documents."""
+    rng = random.Random(6)
+    cases = [[5, 5, 5, 1], [5, 5, 5, 1, 5, 1], [5] * 9 + [1], [7, 7, 7, 8, 7, 7, 7, 8, 1], *([rng.randint(2, 4) for _ in range(rng.randint(2, 60))] + [1] for _ in range(200))]
+    for ids in cases:
+        rules, lengths, seq = m.compress(np.array(ids, np.uint32), 10, min_count=2)
+        spelt = [[i] for i in range(10)]
+        for a, b in rules:
+            spelt.append(spelt[a] + spelt[b])
+        assert [t for s in seq for t in spelt[s]] == ids and [len(s) for s in spelt[10:]] == lengths.tolist()
+        left, places = seq.tolist(), {}
+        for i in range(len(left) - 1):
+            if m.END_ID not in left[i : i + 2]:
+                places.setdefault((left[i], left[i + 1]), []).append(i)
+        assert not any(x[-1] - x[0] > 1 for x in places.values()), ids
