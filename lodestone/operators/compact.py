@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import format_bytes, js_trim, let, lines
+from lodestone.sources.shared import stored
 
 _ANY = "[^\\n\\r\\u2028\\u2029]"
 #: Fixed value: lines that are grouped, as prefix, message and line number. The notes below are fixed values too.
@@ -111,6 +114,31 @@ def within_budget(blocks: DataFrame, most: int, group: list[str], order: list[st
     return blocks.withColumn("bytes_before", used).filter(F.col("bytes_before") <= most)
 
 
+def long_list_within_budget(blocks: DataFrame, most: int, group: list[str], order: list[str], block: str = "block") -> DataFrame:
+    """``within_budget`` for lists of any length: none is put in order by one task.
+
+    Sizes alone are dealt by ranges of the order. The total of each range gives the bytes before the next, so that ranges beyond the
+    budget are left out and the others find the last row within it. Only rows up to there, the budget and a block at most, are
+    then taken with their texts.
+    """
+    if not group:
+        return long_list_within_budget(blocks.withColumn("__one", F.lit(0)), most, ["__one"], order, block).drop("__one")
+    keys = [*group, *order]
+    ranged = blocks.select(*keys, F.octet_length(block).cast("long").alias("size")).repartitionByRange(*(F.asc_nulls_first(k) for k in keys))
+    dealt = stored(ranged.withColumn("part", F.spark_partition_id()), "sizes")
+    totals = dealt.groupBy(*group, "part").agg(F.sum("size").alias("total"))
+    earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.withColumn("start", F.coalesce(F.sum("total").over(earlier), F.lit(0))).filter(F.col("start") <= most).drop("total")
+    aside = lambda df, names: df.select(*(F.col(k).alias(f"__{k}") if k in names else k for k in df.columns))
+    same = lambda names: functools.reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in names))
+    near = dealt.join(aside(starts, [*group, "part", "start"]), same([*group, "part"]))
+    inside = Window.partitionBy(*group, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    kept = near.withColumn("before", F.col("__start") + F.coalesce(F.sum("size").over(inside), F.lit(0))).filter(F.col("before") <= most)
+    ends = kept.groupBy(*group).agg(F.max(F.struct(*order)).alias("__end"))
+    upto = blocks.join(aside(ends, group), same(group) & (F.struct(*order) <= F.col("__end"))).select(*blocks.columns)
+    return within_budget(upto, most, group, order, block)
+
+
 def compact_label(text: Column, level: str) -> Column:
     """Hints in a result text, shortened by compression level."""
     if level == "ultra":

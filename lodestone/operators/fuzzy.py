@@ -19,24 +19,47 @@ def vocabulary(docs: DataFrame, doc: str = "doc_id", text: str = "text", most: i
     return words if most is None else words.orderBy("first_doc", "first_pos").limit(most)
 
 
+def _cut(size: Column, pieces: Column, i: Column) -> Column:
+    """Where piece ``i`` of a word cut evenly begins."""
+    return F.floor(i * size / pieces).cast("int")
+
+
+def near_by_pieces(spread: DataFrame, words: DataFrame) -> DataFrame:
+    """(w, bound, size) of ``spread`` with those words of that size that can be within the bound.
+
+    A word cut into one piece more than the bound keeps a piece whole in anything within the bound of it, no further from its place than
+    the bound. So words and queries meet by equal pieces and places: a word has one row for each piece, a query's word seven or fewer.
+    """
+    sized = words.withColumn("size", F.char_length("word"))
+    own = F.col("i").cast("int")
+    bounds = F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda b: F.when(b == 1, F.col("size") <= 5).when(b == 2, F.col("size").between(3, 14)).otherwise(F.col("size") >= 10))
+    cut = sized.withColumn("bound", F.explode(bounds)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("bound"))))
+    begin, end = _cut(F.col("size"), F.col("bound") + 1, own), _cut(F.col("size"), F.col("bound") + 1, own + 1)
+    keyed = cut.withColumn("piece", F.substring(F.lower("word"), begin + 1, end - begin))
+    places = spread.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("bound")))).withColumn("shift", F.explode(F.sequence(-F.col("bound"), F.col("bound"))))
+    part = F.substring(F.lower("w"), begin + F.col("shift") + 1, end - begin)
+    asked = places.filter((begin + F.col("shift") >= 0) & (end + F.col("shift") <= F.char_length(F.lower("w")))).select("w", "bound", "size", "i", part.alias("piece")).distinct()
+    return asked.join(keyed, ["bound", "size", "i", "piece"]).select("w", "bound", "size", "word", "first_doc", "first_pos").distinct()
+
+
 def correct(queries: DataFrame, words: DataFrame, candidates: int | None = 500) -> DataFrame:
     """query_id, corrected for the queries that correction changes.
 
     Words of under three characters go. A word's candidates have a length within its bound (1, 2 or 3 edits for up to
     4, up to 12 and more characters), the first ``candidates`` of them in the order of the vocabulary; the nearest within the
-    bound wins, the earliest on ties. Lengths are joined by equality, one row for each length allowed.
+    bound wins, the earliest on ties. Lengths are joined by equality, one row for each length allowed. With no limit, candidates
+    are those that share a piece with the word, so no word meets all of a length.
     """
     raw = queries.select("query_id", F.posexplode(F.split("query", r"(?U)[\s﻿]+")).alias("ord", "w")).filter("char_length(w) >= 3")
     bound = F.when(F.char_length("w") <= 4, 1).when(F.char_length("w") <= 12, 2).otherwise(3)
     wanted = raw.withColumn("bound", bound)
     n = F.char_length("w")
     spread = wanted.select("w", "bound", F.explode(F.sequence(n - F.col("bound"), n + F.col("bound"))).alias("size")).distinct()
-    sized = words.withColumn("size", F.char_length("word"))
-    if candidates is not None:  # the first of a band of lengths are among the first of each length
-        sized = sized.withColumn("nth", F.row_number().over(Window.partitionBy("size").orderBy("first_doc", "first_pos"))).filter(F.col("nth") <= candidates).drop("nth")
-    met = spread.join(sized, "size")
-    if candidates is not None:
-        met = met.withColumn("nth", F.row_number().over(Window.partitionBy("w").orderBy("first_doc", "first_pos"))).filter(F.col("nth") <= candidates)
+    if candidates is None:
+        met = near_by_pieces(spread, words)
+    else:  # the first of a band of lengths are among the first of each length
+        sized = words.withColumn("size", F.char_length("word")).withColumn("nth", F.row_number().over(Window.partitionBy("size").orderBy("first_doc", "first_pos"))).filter(F.col("nth") <= candidates).drop("nth")
+        met = spread.join(sized, "size").withColumn("nth", F.row_number().over(Window.partitionBy("w").orderBy("first_doc", "first_pos"))).filter(F.col("nth") <= candidates)
     distance = F.expr("levenshtein(lower(w), lower(word), bound)")
     near = met.withColumn("distance", distance).filter("distance >= 0")
     best = near.groupBy("w").agg(F.min_by("word", F.struct("distance", "first_doc", "first_pos")).alias("best"))

@@ -65,3 +65,19 @@ def uses_network(command: Column) -> Column:
 def code_fits(code: Column, most: int = CODE_BYTES) -> Column:
     """Whether code is within the size limit."""
     return F.octet_length(code) <= most
+
+
+def normal_path(path: Column, base: Column) -> Column:
+    """An absolute path without ``.``, ``..`` and doubled slashes; relative ones start at ``base``. Links are not followed."""
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(base, F.lit("/"), path))
+    parts = F.filter(F.split(whole, "/"), lambda p: ~p.isin("", "."))
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", up(acc)).otherwise(F.concat(acc, F.array(p))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def is_within(path: Column, folder: Column) -> Column:
+    """Whether a path is a folder or lies in it."""
+    root = normal_path(folder, F.lit("/"))
+    at = normal_path(path, root)
+    return (root == "/") | (at == root) | at.startswith(F.concat(root, F.lit("/")))

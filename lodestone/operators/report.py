@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.compact import compact_label, within_budget
 from lodestone.operators.indexed import cascade
-from lodestone.operators.session import hint_list, throttle, tool_counts
+from lodestone.operators.session import HINT_TEXTS, hint_list, throttle, tool_counts
 from lodestone.operators.terms import distinctive_terms
 from lodestone.sources.options import Options
 from lodestone.sources.shared import stored
@@ -93,3 +93,33 @@ def discovery(chunks: DataFrame, calls: DataFrame, n_words: DataFrame) -> DataFr
     facts = size.crossJoin(words).crossJoin(terms)  # each is one row
     usage = tool_counts(calls).crossJoin(size)
     return facts.crossJoin(usage.select(hint_list(F.col("n_sources"), F.col("n_chunks")).alias("hints")))
+
+
+#: What an empty store says.
+EMPTY = [
+    "No content indexed yet. Use these tools to build the knowledge base:\n", "- `batch_execute` — run commands and auto-index output", "- `execute` with `intent` — auto-indexes large output",
+    "- `index` — index documentation or files", "- `fetch_and_index` — fetch and index web pages",
+]
+
+
+def discovery_lines(store: Store, calls: DataFrame) -> DataFrame:
+    """part, nth, line: the discovery report, a row for each line, in order of part and nth. Sources, latest first, are as many rows as there are."""
+    spark, now = store.spark, store.snapshot()
+    fixed = lambda part, lines: spark.createDataFrame([(part, i, x) for i, x in enumerate(lines)], "part int, nth long, line string")
+    head = ["## Knowledge Base Discovery\n"]
+    if now.n_sources:
+        grams = "lazy (not yet needed)" if now.unfilled else "active"
+        words = now.vocabulary.agg(F.count(F.lit(1)).alias("n"))
+        head += ["| Metric | Value |", "|--------|-------|", f"| Indexed sources | {now.n_sources} |", f"| Total chunks | {now.n_chunks} |"]
+        size = words.select(F.lit(2), F.lit(0).cast("long"), F.concat(F.lit("| Vocabulary size | "), F.col("n").cast("string"), F.lit(" |")))
+        code = F.when(F.col("code_chunk_count") > 0, F.concat(F.lit(" ("), F.col("code_chunk_count").cast("string"), F.lit(" with code)"))).otherwise("")
+        line = F.concat(F.lit("- **"), "label", F.lit("** — "), F.col("chunk_count").cast("string"), F.lit(" chunks"), code)
+        listed = now.sources.orderBy(F.desc("indexed_at"), "source_id").select(F.lit(4), F.monotonically_increasing_id(), line)
+        terms = distinctive_terms(now.chunks, 20).agg(F.array_join(_in_order(F.col("word"), F.col("rank")), ", ").alias("terms")).filter("terms != ''")
+        best = terms.select(F.lit(5), F.lit(0).cast("long"), F.concat(F.lit("\n### Top Searchable Terms\n\n"), "terms"))
+        out = fixed(1, head).union(size).union(fixed(3, [f"| Trigram index | {grams} |", "\n### Indexed Sources\n"])).union(listed).union(best)
+    else:
+        out = fixed(1, head + EMPTY)
+    hints = tool_counts(calls).select(F.posexplode(hint_list(F.lit(now.n_sources), F.lit(now.n_chunks))).alias("nth", "hint"))
+    texts = F.create_map(*(F.lit(x) for pair in HINT_TEXTS.items() for x in pair))
+    return out.union(fixed(6, ["\n### Optimization Suggestions\n"])).union(hints.select(F.lit(7), F.col("nth").cast("long"), texts[F.col("hint")]))

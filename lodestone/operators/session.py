@@ -53,6 +53,36 @@ def report_lines(calls: DataFrame) -> DataFrame:
     return tool_stats(calls).select("tool", line.alias("line"))
 
 
+def _cost(tokens: Column, price: float) -> Column:
+    """What tokens cost at a price for a million; small amounts as such."""
+    dollars = tokens / 1_000_000 * price
+    return F.when(dollars < 0.01, "<$0.01").otherwise(F.format_string("~$%.2f", dollars))
+
+
+def report_text(calls: DataFrame, elapsed_s: int = 0, price: float = 3.0) -> DataFrame:
+    """One row, ``report``: the statistics of a session as markdown, tools in the order of their first calls."""
+    number = lambda c: F.format_number(c, 0)
+    span = lambda what: F.concat(F.lit("~"), number(F.col(f"tokens_{what}_low")), F.lit("-"), number(F.col(f"tokens_{what}_high")), F.lit(" tokens ("), _cost(F.col(f"tokens_{what}_mid"), price), F.lit(")"))
+    percent, times = F.format_string("%.1f", "reduction_pct"), F.coalesce(F.format_string("%.1fx", "ratio"), F.lit("∞"))
+    times = F.when(F.col("ratio").isNull(), "∞").otherwise(times)
+    rows = {
+        "Session time": F.lit(f"{elapsed_s // 60}m {elapsed_s % 60}s"), "Tool calls": F.col("calls").cast("string"), "Total data processed": format_bytes(F.col("processed")), "Kept in sandbox": format_bytes(F.col("kept_out")),
+        "Context consumed": format_bytes(F.col("returned")), "Est. tokens used": span("returned"), "Est. tokens saved": span("kept_out"), "**Savings ratio**": F.concat(F.lit("**"), times, F.lit("** ("), percent, F.lit("% reduction)")),
+    }
+    table = [F.lit("## Session Statistics\n"), F.lit("| Metric | Value |"), F.lit("|--------|-------|"), *(F.concat(F.lit(f"| {name} | "), value, F.lit(" |")) for name, value in rows.items())]
+    shares = F.concat(F.lit("\n**Context savings:** "), gauge(F.col("kept_out") / F.col("processed")), F.lit("\n  Sandbox: "), format_bytes(F.col("kept_out")), F.lit(" kept out | Context: "), format_bytes(F.col("returned")), F.lit(" entered"))
+    first = calls.groupBy("tool").agg(F.min(F.struct("ts", "call_id")).alias("first"))
+    tools = report_lines(calls).join(first, "tool").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", "line"))), lambda x: x["line"]), "\n").alias("tools"))
+    lines = F.array(*table, F.when(F.col("processed") > 0, shares), F.when(F.col("calls") > 0, F.concat(F.lit("\n## Per-Tool Breakdown\n\n"), "tools")), F.concat(F.lit("\nKept "), format_bytes(F.col("kept_out")), F.lit(" out of context ("), percent, F.lit("% savings).")))
+    return savings(calls).crossJoin(tools).select(F.array_join(F.array_compact(lines), "\n").alias("report"))  # each is one row
+
+
+def with_report_call(calls: DataFrame, report: DataFrame, call_id: int, at: Column) -> DataFrame:
+    """The log after a report was given: its own bytes are in it from the next report on."""
+    own = report.select(F.lit(call_id).cast("long").alias("call_id"), F.lit("stats").alias("tool"), at.alias("ts"), F.octet_length("report").cast("long").alias("bytes_returned"))
+    return calls.unionByName(own, allowMissingColumns=True)
+
+
 def throttle(calls: DataFrame, window_ms: int = 60_000, reduce_after: int = 3, block_after: int = 8, limit: int = 3, group: list[str] | None = None) -> DataFrame:
     """Each call with the number of calls in its window (itself too; blocked ones count), and what it is allowed.
 
@@ -89,6 +119,16 @@ def hint_list(n_sources: Column, n_chunks: Column) -> Column:
     return F.array_compact(F.array(*[F.when(rule, F.lit(name)) for rule, name in rules]))
 
 
+#: The hints in full.
+HINT_TEXTS = {
+    "start with a batch": "- Start by using `batch_execute` to run multiple commands at once",
+    "batch commands": "- **Use batch_execute** — you've made multiple execute calls that could be batched into one",
+    "batch searches": "- **Batch your searches** — pass multiple queries in a single search() call",
+    "filter by source": "- **Use source filtering** — scope searches with `source` parameter for faster, targeted results",
+    "index more": "- **Index more content** — use `intent` parameter in execute calls to auto-index large output",
+}
+
+
 def suggestions(calls: DataFrame, n_sources: int, n_chunks: int) -> DataFrame:
     """One row: the usage hints that apply."""
     return tool_counts(calls).select(hint_list(F.lit(n_sources), F.lit(n_chunks)).alias("hints"))

@@ -105,7 +105,36 @@ def _inj() -> str:
     return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, '{p}', '{f}') THEN '{label}' END" for p, f, label in rules) + "], lambda x: x IS NOT NULL), '; ')"
 
 
+_TERMS = f"""each AS (SELECT source_id, chunk_ord, w[i] AS word, i AS p FROM (SELECT source_id, chunk_ord, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT source_id, chunk_ord, {_WORDS.format('content')} AS w FROM chunks))),
+      firsts AS (SELECT word, source_id, chunk_ord, min(p) AS p FROM each GROUP BY ALL), f AS (SELECT word, count(*) AS df, min({{'a': source_id, 'b': chunk_ord, 'c': p}}) AS seen FROM firsts GROUP BY word), n AS (SELECT count(*) AS n FROM chunks),
+      s AS (SELECT word, df, seen, ln(n / df) + least(length(word) / 20, 0.5) + CASE WHEN contains(word, '_') THEN 1.5 WHEN length(word) >= 12 THEN 0.8 ELSE 0 END AS score FROM f, n WHERE df >= 2 AND df <= greatest(3, ceil(n * 0.4)))"""
+_USAGE = """usage AS (SELECT count(*) AS n, count(*) FILTER (event_type = 'view') AS searches, count(*) FILTER (event_type <> 'view') AS executes FROM events)"""
+_HINTS = """array_to_string(list_filter([CASE WHEN n = 0 THEN 'start with a batch' END, CASE WHEN n > 0 AND executes > 3 THEN 'batch commands' END, CASE WHEN n > 0 AND searches > 5 THEN 'batch searches' END,
+  CASE WHEN n > 0 AND n_chunks > 50 THEN 'filter by source' END, CASE WHEN n > 2 AND n_sources = 0 THEN 'index more' END], lambda x: x IS NOT NULL), '; ')"""
+_ACCENTED = "éèêëàâäáîïíñôöóûüúùÿßçœæãõ"
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_FIRST_WORDS = f"SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents)"
+
+
+def _corrected(limit: str) -> str:
+    """Each letter of a word is one byte, as distances are counted in bytes here."""
+    plain = lambda x: f"translate(lower({x}), '{_ACCENTED}', '{_CAPITALS}')"
+    return f"""WITH vocabulary AS (SELECT word, min({{'d': doc_id, 'p': i}}) AS seen FROM (SELECT doc_id, w[i] AS word, i FROM ({_FIRST_WORDS})) GROUP BY word),
+raw AS (SELECT item_id AS query_id, list_transform(regexp_split_to_array(text, '\\s+')[1:3], lambda w: CASE WHEN length(w) >= 4 THEN substr(w, 1, 2) || 'q' || substr(w, 3) ELSE w END) AS ws FROM benchmark),
+asked AS (SELECT query_id, i AS ord, ws[i] AS w FROM (SELECT query_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM raw) WHERE length(ws[i]) >= 3),
+bounded AS (SELECT *, CASE WHEN length(w) <= 4 THEN 1 WHEN length(w) <= 12 THEN 2 ELSE 3 END AS bound FROM asked),
+band AS (SELECT w, bound, word, seen FROM (SELECT DISTINCT w, bound FROM bounded) JOIN vocabulary ON abs(length(word) - length(w)) <= bound {limit}),
+near AS (SELECT w, word, seen, levenshtein({plain('w')}, {plain('word')}) AS d FROM band WHERE d <= bound),
+best AS (SELECT w, min({{'d': d, 'seen': seen, 'word': word}}).word AS word FROM near GROUP BY w),
+done AS (SELECT query_id, ord, w, coalesce(word, w) AS word FROM bounded LEFT JOIN best USING (w))
+SELECT query_id, string_agg(word, ' ' ORDER BY ord) AS corrected FROM done GROUP BY query_id HAVING bool_or(word <> w)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "fuzzy_correct": _corrected("QUALIFY row_number() OVER (PARTITION BY w ORDER BY seen) <= 500"),
+    "fuzzy_correct_all": _corrected(""),
+    "store_stats": f"WITH {_DOCS} SELECT (SELECT count(*) FROM (SELECT DISTINCT source_id FROM chunks)) AS n_sources, (SELECT count(*) FROM chunks) AS n_chunks, (SELECT count(DISTINCT w[i]) FROM ({_FIRST_WORDS})) AS n_words",
+    "store_sources": f"WITH {_DOCS} SELECT source_id, label, count(*) AS chunk_count, CAST(0 AS BIGINT) AS code_chunk_count FROM chunks GROUP BY ALL",
     "token_freq": f"SELECT token, count(*) AS n FROM (SELECT unnest({_TOKENS.format('text')}) AS token FROM documents) GROUP BY token",
     "doc_lines": f"SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, list_max(list_transform(string_split(text, chr(10)), lambda x: strlen(x))) AS longest, {_size('strlen(text)')} AS shown_size FROM documents",
     "chunk_plain": f"WITH {_DOCS} SELECT source_id, label, chunk_ord, title, content, 'text' AS content_type FROM chunks",
@@ -123,9 +152,7 @@ ORACLE_SQL: dict[str, str] = {
       hits AS (SELECT query_id, phrase, source_id, chunk_ord, 2.0 * len(list_filter(range(1, length(t) + 1), lambda i: substr(t, i, length(word)) = word)) + len(list_filter(range(1, length(c) + 1), lambda i: substr(c, i, length(word)) = word)) AS weighted FROM low JOIN words ON contains(t, word) OR contains(c, word)), {_SCORES} {_top()}""",
     "vocabulary": f"SELECT word, min({{'d': doc_id, 'p': p}}).d AS first_doc, min({{'d': doc_id, 'p': p}}).p AS first_pos FROM (SELECT doc_id, w[i] AS word, i - 1 AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents))) GROUP BY word",
     "doc_freq": f"WITH {_DOCS} SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct({_WORDS.format('content')})) AS word FROM chunks) GROUP BY word",
-    "distinctive_terms": f"""WITH {_DOCS}, each AS (SELECT source_id, chunk_ord, w[i] AS word, i AS p FROM (SELECT source_id, chunk_ord, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT source_id, chunk_ord, {_WORDS.format('content')} AS w FROM chunks))),
-      firsts AS (SELECT word, source_id, chunk_ord, min(p) AS p FROM each GROUP BY ALL), f AS (SELECT word, count(*) AS df, min({{'a': source_id, 'b': chunk_ord, 'c': p}}) AS seen FROM firsts GROUP BY word), n AS (SELECT count(*) AS n FROM chunks),
-      s AS (SELECT word, df, seen, ln(n / df) + least(length(word) / 20, 0.5) + CASE WHEN contains(word, '_') THEN 1.5 WHEN length(word) >= 12 THEN 0.8 ELSE 0 END AS score FROM f, n WHERE df >= 2 AND df <= greatest(3, ceil(n * 0.4)))
+    "distinctive_terms": f"""WITH {_DOCS}, {_TERMS}
       SELECT row_number() OVER (ORDER BY round(score, 9) DESC, seen) AS rank, word, df, CAST(round(score, 6) AS DOUBLE) AS score FROM s QUALIFY rank <= 40""",
     "source_terms": f"""WITH {_chunks(_PAGES)}, each AS (SELECT source_id, chunk_ord, w[i] AS word, i AS p FROM (SELECT source_id, chunk_ord, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT source_id, chunk_ord, {_WORDS.format('content')} AS w FROM chunks))),
       firsts AS (SELECT word, source_id, chunk_ord, min(p) AS p FROM each GROUP BY ALL), f AS (SELECT source_id, word, count(*) AS df, min({{'b': chunk_ord, 'c': p}}) AS seen FROM firsts GROUP BY ALL), n AS (SELECT source_id, count(*) AS n FROM chunks GROUP BY ALL),
@@ -157,8 +184,17 @@ ORACLE_SQL: dict[str, str] = {
     "savings_report": f"""WITH {_LOG}, t AS (SELECT count(*) AS calls, CAST(sum(bytes_returned) AS BIGINT) AS returned, CAST(sum(bytes_indexed + bytes_sandboxed) AS BIGINT) AS kept_out FROM calls)
       SELECT calls, returned, kept_out, returned + kept_out AS processed, round((returned + kept_out) / returned, 6) AS ratio, round((1 - returned / (returned + kept_out)) * 100, 1) AS reduction_pct,
       (2 * returned + 5) // 10 AS tokens_returned_low, (2 * returned + 4) // 8 AS tokens_returned_mid, (2 * returned + 3) // 6 AS tokens_returned_high, (2 * kept_out + 5) // 10 AS tokens_kept_out_low, (2 * kept_out + 4) // 8 AS tokens_kept_out_mid, (2 * kept_out + 3) // 6 AS tokens_kept_out_high FROM t""",
+    "tool_report": f"""WITH {_LOG}, p AS (SELECT tool, count(*) AS calls, CAST(sum(bytes_returned) AS BIGINT) AS b FROM calls GROUP BY tool), s AS (SELECT *, b / max(b) OVER () AS share FROM p)
+      SELECT tool, '  ' || CASE WHEN length(tool) >= 16 THEN tool ELSE rpad(tool, 16, ' ') END || ' ' || CASE WHEN calls >= 1000 THEN CAST(calls AS VARCHAR) ELSE lpad(CAST(calls AS VARCHAR), 3, ' ') END || ' calls  ' || repeat('█', greatest(1, CAST(floor(share * 15 + 0.5) AS INTEGER)))
+        || ' ' || {_size('b')} || ' (~' || format('{{:,}}', (2 * b + 5) // 10) || '-' || format('{{:,}}', (2 * b + 3) // 6) || ' tok)' AS line FROM s""",
+    "usage_hints": f"""WITH {_DOCS}, size AS (SELECT count(DISTINCT source_id) AS n_sources, count(*) AS n_chunks FROM chunks), {_USAGE} SELECT {_HINTS} AS hints FROM usage, size""",
+    "discover_report": f"""WITH {_DOCS}, size AS (SELECT count(DISTINCT source_id) AS n_sources, count(*) AS n_chunks FROM chunks), {_USAGE}, words AS (SELECT count(DISTINCT w[i]) AS n_words FROM ({_FIRST_WORDS})),
+      {_TERMS}, best AS (SELECT word, row_number() OVER (ORDER BY round(score, 9) DESC, seen) AS rank FROM s QUALIFY rank <= 20)
+      SELECT n_sources, n_chunks, n_words, (SELECT string_agg(word, ', ' ORDER BY rank) FROM best) AS terms, {_HINTS} AS hints FROM usage, size, words""",
     "throttle": f"""WITH {_LOG}, c AS (SELECT call_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) RANGE BETWEEN 21600000 PRECEDING AND CURRENT ROW) - row_number() OVER (PARTITION BY user_id, epoch_ms(ts) ORDER BY call_id DESC) + 1 AS n FROM calls)
       SELECT call_id, user_id, n AS calls_in_window, CASE WHEN n > 8 THEN 0 WHEN n > 3 THEN 1 ELSE 3 END AS allowed, CASE WHEN n > 8 THEN 'blocked' WHEN n > 3 THEN 'reduced' END AS notice FROM c""",
+    "stream_throttle": f"""WITH {_LOG}, c AS (SELECT call_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) RANGE BETWEEN 21600000 PRECEDING AND CURRENT ROW) - row_number() OVER (PARTITION BY user_id, epoch_ms(ts) ORDER BY call_id DESC) + 1 AS n FROM calls)
+      SELECT call_id, user_id, n AS calls_in_window, CASE WHEN n > 8 THEN 0 WHEN n > 3 THEN 1 ELSE 3 END AS allowed FROM c""",
     "discover_stats": f"WITH {_DOCS} SELECT label, count(*) AS chunks, count(DISTINCT source_id) AS docs, CAST(0 AS BIGINT) AS code_chunks, '- **' || label || '** — ' || count(*) || ' chunks' AS line FROM chunks GROUP BY label",
     "batch_text": "SELECT conv_id AS batch_id, string_agg('## ' || role || chr(10) || chr(10) || CASE WHEN coalesce(text, '') = '' THEN '(no output)' ELSE text END || chr(10) || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
     "scoped_search": f"""WITH {_DOCS}, {_queries(3)}, {_PHRASES}, {_LENGTHS}, {_SCORES}, named AS (SELECT * FROM scores JOIN chunks USING (source_id, chunk_ord)), inside AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, source_id, chunk_ord) AS rank FROM named WHERE label ILIKE '%src12%'),

@@ -22,6 +22,7 @@ from lodestone.operators import terms as te
 from lodestone.sources.options import Options
 from lodestone.sources.shared import file_mark, scratch_path
 from lodestone.sources.store import Store
+from lodestone.streaming import session as st
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -160,6 +161,22 @@ def fuzzy_correct(spark: SparkSession, folder: str) -> DataFrame:
     return fz.correct(misspelled(spark, folder), fz.vocabulary(table(spark, folder, "documents")))
 
 
+@query
+def fuzzy_correct_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Correction with every word of the vocabulary as a candidate."""
+    return fz.correct(misspelled(spark, folder), doc_store(spark, folder).vocabulary, candidates=None)
+
+
+@query
+def store_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return doc_store(spark, folder).stats()
+
+
+@query
+def store_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return doc_store(spark, folder).list_sources().select("source_id", "label", "chunk_count", "code_chunk_count")
+
+
 @query
 def search_cascade(spark: SparkSession, folder: str) -> DataFrame:
     q = benchmark_queries(spark, folder).unionByName(misspelled(spark, folder).withColumn("query_id", F.col("query_id") + 1_000_000))
@@ -245,7 +262,7 @@ def compact_output(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def budget_prefix(spark: SparkSession, folder: str) -> DataFrame:
     blocks = table(spark, folder, "documents").select("source", "doc_id", F.col("text").alias("block"))
-    return co.within_budget(blocks, 40_960, ["source"], ["doc_id"]).select("source", "doc_id", "bytes_before")
+    return co.long_list_within_budget(blocks, 40_960, ["source"], ["doc_id"]).select("source", "doc_id", "bytes_before")
 
 
 @query
@@ -314,7 +331,8 @@ def discover_stats(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def usage_hints(spark: SparkSession, folder: str) -> DataFrame:
     calls = call_log(spark, folder).withColumn("tool", F.when(F.col("tool") == "view", "search").otherwise("execute"))
-    return ss.suggestions(calls, 1, 51).select(F.array_join("hints", "; ").alias("hints"))
+    now = doc_store(spark, folder).snapshot()
+    return ss.suggestions(calls, now.n_sources, now.n_chunks).select(F.array_join("hints", "; ").alias("hints"))
 
 
 @query
@@ -324,6 +342,20 @@ def discover_report(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("hints", F.array_join("hints", "; "))
 
 
+@query
+def discover_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return re_.discovery_lines(doc_store(spark, folder), call_log(spark, folder))
+
+
+@query
+def session_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of a session of all events, and of the one after it, in which the first report has been counted."""
+    calls = call_log(spark, folder)
+    first = ss.report_text(calls, 3_725)
+    again = ss.with_report_call(calls, first, 1 << 40, F.to_timestamp(F.lit("2100-01-01")))
+    return first.withColumn("nth", F.lit(1)).unionByName(ss.report_text(again, 3_790).withColumn("nth", F.lit(2)))
+
+
 @query
 def intent_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as outputs; the intent is each one's third word and its source."""
@@ -351,18 +383,26 @@ def output_inventory(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def stream_tool_stats(spark: SparkSession, folder: str) -> DataFrame:
-    """The tool statistics of a stream that has read all files there are."""
-    import uuid
+    """The running totals of a stream that has read all files there are."""
+    path = scratch_path(spark, "stream")
+    log = stream_events(spark, folder).select(F.col("event_type").alias("tool"), F.floor(F.abs(F.coalesce("value", F.lit(0.0))) * 100).cast("long").alias("bytes_returned"))
+    st.record_totals(log, f"{path}/totals").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return st.read_totals(spark, f"{path}/totals")
+
+
+@query
+def stream_throttle(spark: SparkSession, folder: str) -> DataFrame:
+    """Each user's calls under a window of six hours, as they stream by."""
+    path = scratch_path(spark, "stream")
+    calls = stream_events(spark, folder).select("user_id", F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts"))
+    found = st.stream_throttle(calls, "user_id", window_ms=6 * 3_600_000, late="1 day")
+    found.writeStream.outputMode("append").format("parquet").option("path", f"{path}/calls").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{path}/calls").select("call_id", "user_id", "calls_in_window", "allowed")
 
-    from lodestone.streaming.session import stream_tool_stats as totals
 
+def stream_events(spark: SparkSession, folder: str) -> DataFrame:
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    calls = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_stream_folder(spark, folder))
-    log = calls.select(F.col("event_type").alias("tool"), F.floor(F.abs(F.coalesce("value", F.lit(0.0))) * 100).cast("long").alias("bytes_returned"))
-    name = f"totals_{uuid.uuid4().hex}"
-    running = totals(log).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_stream_folder(spark, folder))
 
 
 def _stream_folder(spark: SparkSession, folder: str) -> str:

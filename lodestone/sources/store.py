@@ -27,8 +27,9 @@ from lodestone.sources.shared import make_folder, publish
 SOURCES = "commit long, source_id long, label string, chunk_count long, code_chunk_count long, indexed_at timestamp"
 CHUNKS = "commit long, source_id long, label string, chunk_ord int, title string, content string, content_type string, dl int, gl int, cid long"
 VOCABULARY = "commit long, word string, first_doc long, first_pos int"
-POSTINGS = "commit long, source_id long, chunk_ord int, token string, dl int, title_pos array<int>, content_pos array<int>, bucket int"
+POSTINGS = "commit long, source_id long, chunk_ord int, cid long, token string, dl int, weighted double, title_pos array<int>, content_pos array<int>, bucket int"
 STEMS = "commit long, stem string, token string, bucket int"
+PEAKS = "commit long, token string, block long, most double, shortest int, bucket int"
 GRAMS = "commit long, gram string, block long, places array<int>, bucket int"
 ENTRY = "folder string, kind string, commit long, at long, n_chunks long, n_tokens long, n_grams long, n_sources long"
 
@@ -87,6 +88,11 @@ class Snapshot:
         """stem, token: the tokens with a stem that is asked for."""
         return self._in_buckets(self._table("stems", STEMS), wanted, "stem").join(wanted.select("stem").distinct(), "stem", "left_semi").select("stem", "token").distinct()
 
+    def peaks_of(self, wanted: DataFrame) -> DataFrame:
+        """The peaks of single tokens that are asked for; empty where none is frequent."""
+        single = wanted.filter("phrase_len = 1").select("token").distinct()
+        return self._in_buckets(self._table("peaks", PEAKS), single, "token").join(single, "token", "left_semi")
+
     def grams_of(self, asked: DataFrame) -> DataFrame:
         if self.unfilled:
             raise ValueError("some commits have no trigram postings; take Store.with_grams()")
@@ -115,7 +121,9 @@ class Store:
         put(indexed.measured(chunk(docs, "source")), "chunks", CHUNKS)
         chunks = self._own(folder, "chunks", CHUNKS)
         put(indexed.postings(chunks), "postings", POSTINGS, "token", indexed.CHUNK)  # a token can be in all chunks
-        put(indexed.stems(self._own(folder, "postings", POSTINGS)), "stems", STEMS, "stem", ["token"])
+        posted = self._own(folder, "postings", POSTINGS)
+        put(indexed.peaks(posted), "peaks", PEAKS, "token", ["block"])
+        put(indexed.stems(posted), "stems", STEMS, "stem", ["token"])
         put(vocabulary(docs).select("word", F.col("first_doc").cast("long").alias("first_doc"), "first_pos"), "vocabulary", VOCABULARY)
         per = chunks.groupBy("commit", "source_id", "label").agg(F.count(F.lit(1)).alias("chunk_count"), F.sum((F.col("content_type") == "code").cast("long")).alias("code_chunk_count"))
         put(per.withColumn("indexed_at", F.current_timestamp() if at is None else at), "sources", SOURCES)

@@ -173,3 +173,22 @@ def test_commands(spark):
     texts = ["curl http://x", "a && wget y", "ls|curl z", "curly x", "echo curl", "fetch('https://x')", "requests.get(u)", "http.request(x)", "prefetch list"]
     assert list(column(spark, texts, pr.uses_network).values()) == [True, True, True, False, False, True, True, True, False]
     assert list(column(spark, ["é" * 5, "x" * 11], lambda t: pr.code_fits(t, 10)).values()) == [True, False]
+
+
+def test_paths_within_a_folder(spark):
+    rows = [("/srv/app", "x", True), ("/srv/app", "../x", False), ("/srv/app/", "/srv/app", True), ("/srv/app", "/srv/application", False), ("/srv/app", "a/../../app/b", True), ("/srv/app", "/srv//app/./b", True), ("/", "../../x", True), ("/srv/app", "..", False), ("/srv/app", "", True)]
+    df = spark.createDataFrame(rows, "folder string, path string, want boolean")
+    assert [r.path for r in df.filter(pr.is_within(F.col("path"), F.col("folder")) != F.col("want")).collect()] == []
+
+
+def test_long_lists_within_a_budget(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", None]), r.choice([i, i, None]), "x" * r.randint(0, 30)) for i in range(400)] + [("c", 1, "y" * 500), ("c", 2, "z"), ("d", 1, None)]
+    df = spark.createDataFrame(rows, "g string, o int, block string").repartition(9)
+    for most in (0, 100, 2000, 10**6):
+        for group in (["g"], []):
+            plain = lambda x: sorted((str(v.g), str(v.o), v.block or "", v.bytes_before) for v in x.collect())
+            order = ["o", "block"] if group else ["o", "g", "block"]
+            assert plain(co.long_list_within_budget(df, most, group, order)) == plain(co.within_budget(df, most, group, order))

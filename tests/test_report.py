@@ -80,3 +80,18 @@ def test_discovery(spark):
     assert row.hints == ["batch commands"] and "apples" in row.terms
     none = rp.discovery(ch.chunk(docs.filter(F.lit(False))), calls, fz.vocabulary(docs)).first()
     assert none.hints == ["batch commands", "index more"]
+
+
+def test_discovery_lines(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    log = "call_id long, user_id long, tool string, ts timestamp, bytes_returned long, bytes_indexed long, bytes_sandboxed long"
+    text = lambda calls: "\n".join(r.line for r in sorted(rp.discovery_lines(store, calls).collect(), key=lambda r: (r.part, r.nth)))
+    none = text(spark.createDataFrame([], log))
+    assert none.startswith("## Knowledge Base Discovery\n\nNo content indexed yet.") and none.endswith("\n### Optimization Suggestions\n\n- Start by using `batch_execute` to run multiple commands at once")
+    store.index(outputs(spark).select("doc_id", "source", "text").union(spark.createDataFrame([(7, "code", "# H\n```\nx\n```\n")], "doc_id long, source string, text string")), F.lit("2024-01-01").cast("timestamp"))
+    calls = spark.createDataFrame([(i, 1, "search", dt.datetime(2024, 1, 1), 1, 0, 0) for i in range(6)], log)
+    got = text(calls)
+    assert "| Indexed sources | 4 |\n| Total chunks | 10 |\n| Vocabulary size | 7 |\n| Trigram index | lazy (not yet needed) |\n\n### Indexed Sources\n\n- **cmd one** — 1 chunks\n- **cmd two** — 4 chunks\n" in got
+    assert "- **code** — 1 chunks (1 with code)\n\n### Top Searchable Terms\n\n" in got and got.endswith("Suggestions\n\n- **Batch your searches** — pass multiple queries in a single search() call")
+    store.with_grams()
+    assert "| Trigram index | active |" in text(calls)

@@ -122,7 +122,7 @@ def model_correct(query, vocabulary, most=500):
     return " ".join(out) if changed else None
 
 
-@pytest.mark.parametrize("most", [500, 5])
+@pytest.mark.parametrize("most", [500, 5, None])
 def test_correct(spark, most):
     import random
 

@@ -64,6 +64,43 @@ def test_stream_throttle_and_totals(spark, tmp_path):
     assert spark.table("tumbling").count() > 0
 
 
+def test_totals_are_exact_after_a_replay_and_a_restart(spark, tmp_path):
+    rows, log, totals = call_rows(5, 90), str(tmp_path / "log"), str(tmp_path / "totals")
+    put = lambda part: spark.createDataFrame(part, CALLS).coalesce(1).write.mode("append").parquet(log)
+    put(rows[:30])
+    put(rows[30:60])
+
+    def go():
+        stream = spark.readStream.schema(spark.read.parquet(log).schema).option("maxFilesPerTrigger", 1).parquet(log)
+        st.record_totals(stream, totals).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        return {tuple(r) for r in st.read_totals(spark, totals).collect()}
+
+    want = lambda part: {(r.tool, r.calls, r.bytes_returned) for r in ss.tool_stats(spark.createDataFrame(part, CALLS)).collect()}
+    assert go() == want(rows[:60])
+    (tmp_path / "state" / "commits" / "1").unlink()  # as if the last batch had been recorded but not committed
+    (tmp_path / "state" / "commits" / ".1.crc").unlink(missing_ok=True)
+    assert go() == want(rows[:60])
+    put(rows[60:])
+    assert go() == want(rows)
+
+
+def test_stream_throttle_forgets_and_takes_late_calls(spark, tmp_path):
+    import datetime as dt
+
+    start, log = dt.datetime(2024, 1, 1), str(tmp_path / "log")
+    at = lambda s: start + dt.timedelta(seconds=s)
+    batches = [[(1, "a", at(100)), (2, "a", at(104))], [(3, "a", at(102)), (4, "b", at(104))], [(5, "b", at(500))], [(6, "a", at(101)), (7, "b", at(501))], [(8, "c", at(9000))], [(9, "c", at(9001))]]
+    for rows in batches:
+        spark.createDataFrame(rows, "call_id long, who string, ts timestamp").coalesce(1).write.mode("append").parquet(log)
+    stream = spark.readStream.schema("call_id long, who string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(log)
+    q = st.stream_throttle(stream, "who", 10_000, reduce_after=1, block_after=2, late="60 seconds").writeStream.outputMode("append").format("memory").queryName("late")
+    run = q.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = {r.call_id: (r.calls_in_window, r.allowed) for r in spark.table("late").collect()}
+    assert got == {1: (1, 3), 2: (2, 1), 3: (2, 1), 4: (1, 3), 5: (1, 3), 7: (2, 1), 8: (1, 3), 9: (2, 1)}  # 6 is older than the watermark
+    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # a and b have gone
+
+
 def test_report(spark):
     import datetime as dt
 
@@ -96,6 +133,24 @@ def test_inventory(spark):
     assert {tuple(r) for r in ss.inventory(out).collect()} == {("a", 3), ("b", 1), ("c", 1)}
 
 
+def test_report_text(spark):
+    import datetime as dt
+
+    now = dt.datetime(2024, 1, 1)
+    calls = spark.createDataFrame([(1, 1, "search", now, 120, 500, 300), (2, 1, "execute", now + dt.timedelta(seconds=5), 80, 0, 0)], CALLS)
+    report = ss.report_text(calls, 65)
+    text = report.first().report
+    assert text.split("\n")[:5] == ["## Session Statistics", "", "| Metric | Value |", "|--------|-------|", "| Session time | 1m 5s |"]
+    assert "| Est. tokens used | ~40-67 tokens (<$0.01) |\n| Est. tokens saved | ~160-267 tokens (<$0.01) |\n| **Savings ratio** | **5.0x** (80.0% reduction) |\n\n**Context savings:** [" + "█" * 16 + "░" * 4 + "] 80%\n  Sandbox: 800B kept out | Context: 200B entered\n" in text
+    assert text.index("  search ") < text.index("  execute ") and text.endswith("tok)\n\nKept 800B out of context (80.0% savings).")
+    again = ss.report_text(ss.with_report_call(calls, report, 3, F.lit(now + dt.timedelta(seconds=9))), 70).first().report
+    size = len(text.encode())
+    assert "| Tool calls | 3 |" in again and f"| Context consumed | {200 + size}B |" in again and again.index("  execute ") < again.index("  stats ")
+    assert "∞" in ss.report_text(spark.createDataFrame([(1, 1, "index", now, 0, 9, 0)], CALLS)).first().report
+    empty = ss.report_text(spark.createDataFrame([], CALLS)).first().report
+    assert "**1.0x** (0.0% reduction)" in empty and "Breakdown" not in empty and "savings:" not in empty
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.md").write_text("# Á\n---\nb", encoding="utf-8")
     (tmp_path / "big.md").write_text("x" * 100)

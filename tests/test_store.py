@@ -1,7 +1,7 @@
 """The stored index: whole commits, two writers, and the same search results as without an index."""
 
-import json
 import random
+import re
 import threading
 
 import pytest
@@ -90,7 +90,7 @@ def test_a_commit_that_fails_at_any_write_is_never_seen(spark, tmp_path, monkeyp
     old = store.snapshot()
     want = plain(ix.word_search(old, queries))
     put, publish = Store._put, st.publish
-    for stop in ("chunks", "postings", "stems", "vocabulary", "sources", "log"):
+    for stop in ("chunks", "postings", "peaks", "stems", "vocabulary", "sources", "log"):
 
         def broken(self, folder, rows, name, *more, stop=stop):
             if name == stop:
@@ -154,10 +154,45 @@ def test_an_empty_store(spark, tmp_path):
 def test_only_the_buckets_asked_for_are_read_and_no_content_before_the_best(made):
     store, _, queries = made
     hits = ix.phrase_hits(store.snapshot(), queries.filter("query_id = 0"))
-    plan = hits._jdf.queryExecution().toString()
-    assert "content#" not in plan and "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "").replace("isnotnull", "bucket")
-    files = {json.loads(f"[{f.rsplit('bucket=', 1)[1].split('/')[0]}]")[0] for f in hits.inputFiles() if "bucket=" in f}
-    assert len(files) == 1
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ = \d+", plan) and "content:string" not in plan and "_pos:array" not in plan
+
+
+def skewed(n):
+    """Two words in every chunk, some in a few of the later ones only."""
+    r = random.Random(11)
+    rows = []
+    for i in range(n):
+        words = ["the"] * r.randint(1, 9) + ["of"] * r.randint(1, 3) + r.choices([f"w{j}" for j in range(80)], k=r.randint(5, 40))
+        if i % 97 == 5:
+            words += ["rare"] * r.randint(1, 4) + ["the of"]
+        r.shuffle(words)
+        rows.append((i, f"s{i % 4}", " ".join(words)))
+    return rows
+
+
+def test_best_of_frequent_words_as_scoring_all(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame(skewed(900), DOCS).coalesce(1)
+    texts = ["the", "the of", "rare the", "rare of the w3", "the-of w7", "w1 w2 w3", "the the", "unseen", "of"]
+    queries = spark.createDataFrame([(i, t, None, k) for i, (t, k) in enumerate(zip(texts, [3, 5, 1, 4, 2, 3, 7, 3, 2000], strict=True))], QUERY)
+    monkeypatch.setattr(ix, "FREQUENT", 300)
+    monkeypatch.setattr(ix, "PEAK_BITS", 4)
+    store = Store(spark, str(tmp_path / "s"), buckets=3, parts=2)
+    store.index(docs.filter("doc_id < 600"))
+    store.index(docs.filter("doc_id >= 600 AND doc_id < 750"))  # here nothing is frequent
+    store.index(docs.filter("doc_id >= 750 OR doc_id = 3"))
+    snapshot, seen = store.snapshot(), []
+    assert {r.token for r in snapshot._table("peaks", st.PEAKS).collect()} == {"the", "of"}
+    kept = ix.stored
+    monkeypatch.setattr(ix, "stored", lambda df, name: seen.append((name, out := kept(df, name))) or out)
+    got = plain(ix.word_search(snapshot, queries))
+    tables = dict(seen)
+    size = lambda name, q: tables[name].filter(F.col("query_id") == q).count()
+    monkeypatch.setattr(ix, "stored", kept)
+    wanted = ix.asked_phrases(snapshot, queries)
+    hits = ix.hits_of(snapshot.postings_of(wanted).join(wanted, "token"), wanted)
+    assert got == plain(ix.top(ix.bm25(hits, snapshot.n_chunks, snapshot.n_tokens), snapshot, queries)) and len(got) > 900
+    assert size("blocks", 2) < size("bounds", 2) / 3 and size("blocks", 0) < size("bounds", 0) and size("blocks", 8) == size("bounds", 8)
 
 
 def test_gram_candidates_hold_the_word_or_share_its_grams(made, spark):
