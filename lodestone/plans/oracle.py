@@ -54,21 +54,50 @@ def _sanitized(q: str) -> str:
     return f"list_filter(regexp_split_to_array({plain}, '\\s+'), lambda w: length(w) >= 2)"
 
 
-def _queries(words: int, joined: str = " ") -> str:
-    return f"queries AS (SELECT item_id AS query_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:{words}], '{joined}') AS query FROM benchmark)"
+_QUERIES = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
+_PAIRS = """queries AS (SELECT query_id, array_to_string(list_transform(range(1, len(w) + 1, 2), lambda i: array_to_string(w[i : i + 1], '-')), ' ') AS query FROM (SELECT item_id AS query_id, regexp_split_to_array(text, '\\s+') AS w FROM benchmark))"""
+_FIELDS = f"""fields AS (SELECT source_id, chunk_ord, 0 AS field, {_TOKENS.format('title')} AS t FROM chunks UNION ALL SELECT source_id, chunk_ord, 1, {_TOKENS.format('content')} FROM chunks),
+posts AS (SELECT source_id, chunk_ord, field, i - 1 AS pos, t[i] AS token FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM fields))"""
+_LENGTHS = "lengths AS (SELECT source_id, chunk_ord, sum(len(t)) AS dl FROM fields GROUP BY ALL)"
 
 
-_PHRASES = f"""words AS (SELECT query_id, i - 1 AS phrase, ws[i] AS word FROM (SELECT query_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT query_id, {_sanitized('query')} AS ws FROM queries))),
-wanted AS (SELECT query_id, phrase, len(t) AS phrase_len, i - 1 AS off, t[i] AS token FROM (SELECT query_id, phrase, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT query_id, phrase, {_TOKENS.format('word')} AS t FROM words))),
-fields AS (SELECT source_id, chunk_ord, 0 AS field, {_TOKENS.format('title')} AS t FROM chunks UNION ALL SELECT source_id, chunk_ord, 1, {_TOKENS.format('content')} FROM chunks),
-posts AS (SELECT source_id, chunk_ord, field, i - 1 AS pos, t[i] AS token FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM fields)),
-starts AS (SELECT query_id, phrase, source_id, chunk_ord, field, pos - off AS start FROM posts JOIN wanted USING (token) GROUP BY query_id, phrase, source_id, chunk_ord, field, pos - off, phrase_len HAVING count(*) = phrase_len),
-hits AS (SELECT query_id, phrase, source_id, chunk_ord, CAST(sum(CASE WHEN field = 0 THEN 2.0 ELSE 1.0 END) AS DOUBLE) AS weighted FROM starts GROUP BY ALL)"""
-_LENGTHS = "lengths AS (SELECT source_id, chunk_ord, sum(len(t)) AS dl FROM fields GROUP BY ALL)"
-_SCORES = """whole AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM lengths),
-dfs AS (SELECT query_id, phrase, count(*) AS df FROM hits GROUP BY ALL),
-scores AS (SELECT query_id, source_id, chunk_ord, sum(CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) > 0 THEN ln((n_docs - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * weighted * 2.2 / (weighted + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
-  FROM hits JOIN dfs USING (query_id, phrase) JOIN lengths USING (source_id, chunk_ord), whole GROUP BY ALL)"""
+def _words(p: str, queries: str) -> str:
+    """CTE of the words that queries ask for; ``p`` goes before the names."""
+    return f"{p}words AS (SELECT query_id, i - 1 AS phrase, ws[i] AS word FROM (SELECT query_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT query_id, {_sanitized('query')} AS ws FROM {queries})))"
+
+
+def _phrase_hits(p: str, queries: str) -> str:
+    """CTEs up to the occurrences of phrases, from ``posts``."""
+    return f"""{_words(p, queries)},
+{p}wanted AS (SELECT query_id, phrase, len(t) AS phrase_len, i - 1 AS off, t[i] AS token FROM (SELECT query_id, phrase, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT query_id, phrase, {_TOKENS.format('word')} AS t FROM {p}words))),
+{p}starts AS (SELECT query_id, phrase, source_id, chunk_ord, field, pos - off AS start FROM posts JOIN {p}wanted USING (token) GROUP BY query_id, phrase, source_id, chunk_ord, field, pos - off, phrase_len HAVING count(*) = phrase_len),
+{p}hits AS (SELECT query_id, phrase, source_id, chunk_ord, CAST(sum(CASE WHEN field = 0 THEN 2.0 ELSE 1.0 END) AS DOUBLE) AS weighted FROM {p}starts GROUP BY ALL)"""
+
+
+def _part_hits(p: str, queries: str) -> str:
+    """CTEs up to the occurrences of words in the chunks' texts, overlapping ones too."""
+    count = lambda t: f"CASE WHEN NOT contains({t}, w) THEN 0 WHEN NOT borders THEN (strlen({t}) - strlen(replace({t}, w, ''))) // strlen(w) ELSE len(list_filter(range(1, length({t}) + 1), lambda i: substr({t}, i, length(w)) = w)) END"
+    return f"""{_words(p, queries)},
+{p}parts AS (SELECT DISTINCT lower(word) AS w, len(list_filter(range(1, length(word)), lambda k: left(lower(word), k) = right(lower(word), k))) > 0 AS borders FROM {p}words WHERE length(word) >= 3),
+{p}counted AS (SELECT source_id, chunk_ord, w, CAST(2.0 * ({count('t')}) + ({count('c')}) AS DOUBLE) AS weighted FROM (SELECT source_id, chunk_ord, lower(title) AS t, lower(content) AS c FROM chunks) JOIN {p}parts ON contains(t, w) OR contains(c, w)),
+{p}hits AS (SELECT query_id, phrase, source_id, chunk_ord, weighted FROM {p}counted JOIN {p}words ON lower(word) = w)"""
+
+
+def _scored(p: str, lengths: str = "lengths") -> str:
+    """CTEs from ``hits`` to ``scores``."""
+    return f"""{p}whole AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM {lengths}),
+{p}dfs AS (SELECT query_id, phrase, count(*) AS df FROM {p}hits GROUP BY ALL),
+{p}scores AS (SELECT query_id, source_id, chunk_ord, sum(CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) > 0 THEN ln((n_docs - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * weighted * 2.2 / (weighted + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM {p}hits JOIN {p}dfs USING (query_id, phrase) JOIN {lengths} USING (source_id, chunk_ord), {p}whole GROUP BY ALL)"""
+
+
+_PHRASES, _SCORES = f"{_FIELDS}, {_phrase_hits('', 'queries')}", _scored("")
+_GRAM_LENGTHS = "gram_lengths AS (SELECT source_id, chunk_ord, greatest(length(lower(title)) - 2, 0) + greatest(length(lower(content)) - 2, 0) AS dl FROM chunks)"
+
+
+def _ranked_hits(p: str, most: int, condition: str = "true") -> str:
+    """CTE of the best hits that a condition lets through."""
+    return f"{p}best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, source_id, chunk_ord) AS rank FROM {p}scores JOIN chunks USING (source_id, chunk_ord) WHERE {condition}) WHERE rank <= {most})"
 
 
 def _top(condition: str = "true") -> str:
@@ -105,6 +134,7 @@ def _inj() -> str:
     return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, '{p}', '{f}') THEN '{label}' END" for p, f, label in rules) + "], lambda x: x IS NOT NULL), '; ')"
 
 
+_HEADING = "^#{1,4}\\s+(.+)$"
 _TERMS = f"""each AS (SELECT source_id, chunk_ord, w[i] AS word, i AS p FROM (SELECT source_id, chunk_ord, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT source_id, chunk_ord, {_WORDS.format('content')} AS w FROM chunks))),
       firsts AS (SELECT word, source_id, chunk_ord, min(p) AS p FROM each GROUP BY ALL), f AS (SELECT word, count(*) AS df, min({{'a': source_id, 'b': chunk_ord, 'c': p}}) AS seen FROM firsts GROUP BY word), n AS (SELECT count(*) AS n FROM chunks),
       s AS (SELECT word, df, seen, ln(n / df) + least(length(word) / 20, 0.5) + CASE WHEN contains(word, '_') THEN 1.5 WHEN length(word) >= 12 THEN 0.8 ELSE 0 END AS score FROM f, n WHERE df >= 2 AND df <= greatest(3, ceil(n * 0.4)))"""
@@ -116,23 +146,36 @@ _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _FIRST_WORDS = f"SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents)"
 
 
-def _corrected(limit: str) -> str:
-    """Each letter of a word is one byte, as distances are counted in bytes here."""
+_MISSPELT = """SELECT item_id AS query_id, array_to_string(list_transform(regexp_split_to_array(text, '\\s+')[1:3], lambda w: CASE WHEN length(w) >= 4 THEN substr(w, 1, 2) || 'q' || substr(w, 3) ELSE w END), ' ') AS query FROM benchmark"""
+
+
+def _corrected(queries: str, limit: str = "") -> str:
+    """CTEs up to ``fixed``, the corrected queries. Each letter of a word is one byte, as distances are counted in bytes here."""
     plain = lambda x: f"translate(lower({x}), '{_ACCENTED}', '{_CAPITALS}')"
-    return f"""WITH vocabulary AS (SELECT word, min({{'d': doc_id, 'p': i}}) AS seen FROM (SELECT doc_id, w[i] AS word, i FROM ({_FIRST_WORDS})) GROUP BY word),
-raw AS (SELECT item_id AS query_id, list_transform(regexp_split_to_array(text, '\\s+')[1:3], lambda w: CASE WHEN length(w) >= 4 THEN substr(w, 1, 2) || 'q' || substr(w, 3) ELSE w END) AS ws FROM benchmark),
-asked AS (SELECT query_id, i AS ord, ws[i] AS w FROM (SELECT query_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM raw) WHERE length(ws[i]) >= 3),
+    return f"""vocabulary AS (SELECT word, min({{'d': doc_id, 'p': i}}) AS seen FROM (SELECT doc_id, w[i] AS word, i FROM ({_FIRST_WORDS})) GROUP BY word),
+split AS (SELECT query_id, regexp_split_to_array(query, '\\s+') AS ws FROM {queries}),
+asked AS (SELECT query_id, i AS ord, ws[i] AS w FROM (SELECT query_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM split) WHERE length(ws[i]) >= 3),
 bounded AS (SELECT *, CASE WHEN length(w) <= 4 THEN 1 WHEN length(w) <= 12 THEN 2 ELSE 3 END AS bound FROM asked),
 band AS (SELECT w, bound, word, seen FROM (SELECT DISTINCT w, bound FROM bounded) JOIN vocabulary ON abs(length(word) - length(w)) <= bound {limit}),
 near AS (SELECT w, word, seen, levenshtein({plain('w')}, {plain('word')}) AS d FROM band WHERE d <= bound),
-best AS (SELECT w, min({{'d': d, 'seen': seen, 'word': word}}).word AS word FROM near GROUP BY w),
-done AS (SELECT query_id, ord, w, coalesce(word, w) AS word FROM bounded LEFT JOIN best USING (w))
-SELECT query_id, string_agg(word, ' ' ORDER BY ord) AS corrected FROM done GROUP BY query_id HAVING bool_or(word <> w)"""
+nearest AS (SELECT w, min({{'d': d, 'seen': seen, 'word': word}}).word AS word FROM near GROUP BY w),
+done AS (SELECT query_id, ord, w, coalesce(word, w) AS word FROM bounded LEFT JOIN nearest USING (w)),
+fixed AS (SELECT query_id, string_agg(word, ' ' ORDER BY ord) AS corrected FROM done GROUP BY query_id HAVING bool_or(word <> w))"""
+
+
+_FIRST_500 = "QUALIFY row_number() OVER (PARTITION BY w ORDER BY seen) <= 500"
+
+
+#: The first two layers of a search, whose queries are the first words of each item as they are and misspelt.
+_LAYERS = f"""{_DOCS}, queries AS (SELECT item_id AS query_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:3], ' ') AS query FROM benchmark UNION ALL SELECT query_id + 1000000, query FROM ({_MISSPELT})),
+{_FIELDS}, {_LENGTHS}, {_GRAM_LENGTHS}, {_phrase_hits('a_', 'queries')}, {_scored('a_')}, {_ranked_hits('a_', 3)},
+left1 AS (SELECT * FROM queries WHERE query_id NOT IN (SELECT query_id FROM a_best)), {_part_hits('b_', 'left1')}, {_scored('b_', 'gram_lengths')}, {_ranked_hits('b_', 3)},
+left2 AS (SELECT * FROM left1 WHERE query_id NOT IN (SELECT query_id FROM b_best))"""
 
 
 ORACLE_SQL: dict[str, str] = {
-    "fuzzy_correct": _corrected("QUALIFY row_number() OVER (PARTITION BY w ORDER BY seen) <= 500"),
-    "fuzzy_correct_all": _corrected(""),
+    "fuzzy_correct": f"WITH {_corrected(f'({_MISSPELT})', _FIRST_500)} SELECT * FROM fixed",
+    "fuzzy_correct_all": f"WITH {_corrected(f'({_MISSPELT})')} SELECT * FROM fixed",
     "store_stats": f"WITH {_DOCS} SELECT (SELECT count(*) FROM (SELECT DISTINCT source_id FROM chunks)) AS n_sources, (SELECT count(*) FROM chunks) AS n_chunks, (SELECT count(DISTINCT w[i]) FROM ({_FIRST_WORDS})) AS n_words",
     "store_sources": f"WITH {_DOCS} SELECT source_id, label, count(*) AS chunk_count, CAST(0 AS BIGINT) AS code_chunk_count FROM chunks GROUP BY ALL",
     "token_freq": f"SELECT token, count(*) AS n FROM (SELECT unnest({_TOKENS.format('text')}) AS token FROM documents) GROUP BY token",
@@ -141,15 +184,30 @@ ORACLE_SQL: dict[str, str] = {
     "chunk_stats": f"WITH {_DOCS} SELECT source_id, label, count(*) AS total_chunks, CAST(0 AS BIGINT) AS code_chunks FROM chunks GROUP BY ALL",
     "chunk_markdown": f"""SELECT doc_id AS source_id, source AS label, unnest([0, 1, 2]) AS chunk_ord, unnest([source, source || ' > ' || lang, 'top']) AS title,
       unnest([{_trim("'### ' || source || chr(10) || text || chr(10) || '```' || chr(10) || '# no heading' || chr(10) || '---' || chr(10) || '```'")}, '## ' || lang || chr(10) || 'end', '# top']) AS content, unnest(['code', 'text', 'text']) AS content_type FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL""",
+    "chunk_markdown_ranges": f"""WITH RECURSIVE whole AS (SELECT doc_id, string_split(repeat('#', CAST(doc_id % 4 + 1 AS INTEGER)) || ' ' || source || chr(10) || text || chr(10) || '```' || chr(10) || '# no heading' || chr(10) || '---' || chr(10) || '```' || chr(10)
+        || repeat('#', CAST((doc_id // 4) % 4 + 1 AS INTEGER)) || ' ' || lang || chr(10) || 'end' || chr(10) || '-*_ ' || chr(10) || 'tail' || chr(10) || repeat('#', CAST((doc_id // 16) % 4 + 1 AS INTEGER)) || ' last' || chr(10)
+        || CASE WHEN doc_id % 3 = 0 THEN '```' || chr(10) || 'open' || chr(10) || '# x' || chr(10) || '---' ELSE 'closed' END, chr(10)) AS l FROM documents),
+      lines AS (SELECT doc_id, i, l[i] AS line, starts_with(l[i], '```') AS fence FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM whole)),
+      fenced AS (SELECT *, sum(CAST(fence AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS fences FROM lines),
+      kinds AS (SELECT *, CASE WHEN fence OR fences % 2 = 1 THEN NULL WHEN regexp_full_match(line, '[-_*]{{3,}}\\s*') THEN 0 WHEN regexp_matches(line, '{_HEADING}') THEN length(regexp_extract(line, '^#+')) END AS level FROM fenced),
+      placed AS (SELECT *, sum(CASE WHEN level IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM kinds),
+      events AS (SELECT doc_id, section, level, {_trim(f"regexp_extract(line, '{_HEADING}', 1)")} AS title FROM placed WHERE level IS NOT NULL),
+      paths AS (SELECT doc_id, CAST(0 AS HUGEINT) AS section, CAST([] AS VARCHAR[]) AS path FROM whole
+        UNION ALL SELECT e.doc_id, e.section, CASE WHEN e.level = 0 THEN p.path ELSE list_append(p.path[1 : e.level - 1], e.title) END FROM paths p JOIN events e ON e.doc_id = p.doc_id AND e.section = p.section + 1),
+      sections AS (SELECT doc_id, section, {_trim("coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (level IS NULL OR level > 0), '')")} AS content, bool_or(fence) AS code FROM placed GROUP BY doc_id, section)
+      SELECT doc_id AS source_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1 AS INTEGER) AS chunk_ord, CASE WHEN len(path) > 0 THEN array_to_string(path, ' > ') ELSE substr(content, 1, 80) END AS title, content, CASE WHEN code THEN 'code' ELSE 'text' END AS content_type
+      FROM sections JOIN paths USING (doc_id, section) WHERE content <> ''""",
     "index_postings": f"WITH {_DOCS}, fields AS (SELECT source_id, chunk_ord, 0 AS field, {_TOKENS.format('title')} AS t FROM chunks UNION ALL SELECT source_id, chunk_ord, 1, {_TOKENS.format('content')} FROM chunks), posts AS (SELECT source_id, chunk_ord, field, CAST(i - 1 AS INTEGER) AS pos, t[i] AS token FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM fields)) SELECT token, field, count(*) AS tf, count(DISTINCT (source_id, chunk_ord)) AS df, max(pos) AS last_pos FROM posts GROUP BY ALL",
     "sanitize_query": f"SELECT item_id, array_to_string(list_transform({_sanitized(chr(39) + 'not (' + chr(39) * 2 + chr(39) + ' || text || ' + chr(39) * 3 + ') a OR b:*' + chr(39))}, lambda w: '\"' || w || '\"'), ' OR ') AS expression FROM benchmark",
-    "bm25_topk": f"WITH {_DOCS}, {_queries(3)}, {_PHRASES}, {_LENGTHS}, {_SCORES} {_top()}",
-    "bm25_source_filter": f"WITH {_DOCS}, {_queries(3)}, {_PHRASES}, {_LENGTHS}, {_SCORES} {_top(chr(34) + 'label' + chr(34) + ' ILIKE ' + chr(39) + '%src1%' + chr(39))}",
-    "phrase_match": f"WITH {_DOCS}, {_queries(2, '-')}, {_PHRASES} SELECT * FROM hits",
+    "bm25_topk": f"WITH {_DOCS}, {_QUERIES}, {_PHRASES}, {_LENGTHS}, {_SCORES} {_top()}",
+    "bm25_source_filter": f"WITH {_DOCS}, {_QUERIES}, {_PHRASES}, {_LENGTHS}, {_SCORES} {_top(chr(34) + 'label' + chr(34) + ' ILIKE ' + chr(39) + '%src1%' + chr(39))}",
+    "phrase_match": f"WITH {_DOCS}, {_PAIRS}, {_PHRASES} SELECT * FROM hits",
     "substring_topk": f"""WITH {_DOCS}, base AS (SELECT item_id AS query_id, regexp_split_to_array(text, '\\s+')[1:2] AS w FROM benchmark), queries AS (SELECT query_id, substr(coalesce(w[1], ''), 1, 4) || ' ' || substr(coalesce(w[2], ''), 2, 4) AS query FROM base),
       words AS (SELECT query_id, i - 1 AS phrase, lower(ws[i]) AS word FROM (SELECT query_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT query_id, {_sanitized('query')} AS ws FROM queries)) WHERE length(ws[i]) >= 3),
       low AS (SELECT source_id, chunk_ord, lower(title) AS t, lower(content) AS c FROM chunks), lengths AS (SELECT source_id, chunk_ord, greatest(length(t) - 2, 0) + greatest(length(c) - 2, 0) AS dl FROM low),
-      hits AS (SELECT query_id, phrase, source_id, chunk_ord, 2.0 * len(list_filter(range(1, length(t) + 1), lambda i: substr(t, i, length(word)) = word)) + len(list_filter(range(1, length(c) + 1), lambda i: substr(c, i, length(word)) = word)) AS weighted FROM low JOIN words ON contains(t, word) OR contains(c, word)), {_SCORES} {_top()}""",
+      letters AS (SELECT source_id, chunk_ord, 2.0 AS weight, string_split(t, '') AS l FROM low UNION ALL SELECT source_id, chunk_ord, 1.0, string_split(c, '') FROM low),
+      grams AS (SELECT source_id, chunk_ord, weight, unnest(flatten(list_transform(range(1, len(l) - 1), lambda i: [l[i] || l[i + 1] || l[i + 2]] || CASE WHEN i + 3 <= len(l) THEN [l[i] || l[i + 1] || l[i + 2] || l[i + 3]] ELSE [] END))) AS word FROM letters),
+      hits AS (SELECT query_id, phrase, source_id, chunk_ord, CAST(sum(weight) AS DOUBLE) AS weighted FROM grams JOIN words USING (word) GROUP BY ALL), {_SCORES} {_top()}""",
     "vocabulary": f"SELECT word, min({{'d': doc_id, 'p': p}}).d AS first_doc, min({{'d': doc_id, 'p': p}}).p AS first_pos FROM (SELECT doc_id, w[i] AS word, i - 1 AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents))) GROUP BY word",
     "doc_freq": f"WITH {_DOCS} SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct({_WORDS.format('content')})) AS word FROM chunks) GROUP BY word",
     "distinctive_terms": f"""WITH {_DOCS}, {_TERMS}
@@ -197,9 +255,13 @@ ORACLE_SQL: dict[str, str] = {
       SELECT call_id, user_id, n AS calls_in_window, CASE WHEN n > 8 THEN 0 WHEN n > 3 THEN 1 ELSE 3 END AS allowed FROM c""",
     "discover_stats": f"WITH {_DOCS} SELECT label, count(*) AS chunks, count(DISTINCT source_id) AS docs, CAST(0 AS BIGINT) AS code_chunks, '- **' || label || '** — ' || count(*) || ' chunks' AS line FROM chunks GROUP BY label",
     "batch_text": "SELECT conv_id AS batch_id, string_agg('## ' || role || chr(10) || chr(10) || CASE WHEN coalesce(text, '') = '' THEN '(no output)' ELSE text END || chr(10) || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
-    "scoped_search": f"""WITH {_DOCS}, {_queries(3)}, {_PHRASES}, {_LENGTHS}, {_SCORES}, named AS (SELECT * FROM scores JOIN chunks USING (source_id, chunk_ord)), inside AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, source_id, chunk_ord) AS rank FROM named WHERE label ILIKE '%src12%'),
-      rest AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, source_id, chunk_ord) AS rank FROM named WHERE query_id NOT IN (SELECT query_id FROM inside)), both_ AS (SELECT * FROM inside UNION ALL SELECT * FROM rest)
-      SELECT query_id, rank, source_id, chunk_ord, title, label, CAST(round(score, 6) AS DOUBLE) AS score FROM both_ WHERE rank <= 5""",
+    "scoped_search": f"""WITH {_DOCS}, {_QUERIES}, {_FIELDS}, {_LENGTHS}, {_GRAM_LENGTHS}, {_phrase_hits('a_', 'queries')}, {_scored('a_')}, {_ranked_hits('a_', 5, "label ILIKE '%src12%'")},
+      left1 AS (SELECT * FROM queries WHERE query_id NOT IN (SELECT query_id FROM a_best)), {_part_hits('b_', 'left1')}, {_scored('b_', 'gram_lengths')}, {_ranked_hits('b_', 5, "label ILIKE '%src12%'")},
+      left2 AS (SELECT * FROM left1 WHERE query_id NOT IN (SELECT query_id FROM b_best)), {_phrase_hits('c_', 'left2')}, {_scored('c_')}, {_ranked_hits('c_', 5)}
+      SELECT query_id, rank, source_id, chunk_ord, title, label, CAST(round(score, 6) AS DOUBLE) AS score FROM (SELECT * FROM a_best UNION ALL SELECT * FROM b_best UNION ALL SELECT * FROM c_best)""",
+    "search_layers": f"""WITH {_LAYERS}, {_corrected('left2', _FIRST_500)}, again AS (SELECT query_id, corrected AS query FROM fixed), {_phrase_hits('c_', 'again')}, {_scored('c_')}, {_ranked_hits('c_', 3)},
+      every AS (SELECT *, 'word' AS layer FROM a_best UNION ALL SELECT *, 'substring' FROM b_best UNION ALL SELECT *, 'fuzzy' FROM c_best)
+      SELECT query_id, rank, layer, source_id, chunk_ord, title, CAST(round(score, 6) AS DOUBLE) AS score, CASE WHEN layer = 'fuzzy' THEN corrected END AS corrected FROM every LEFT JOIN fixed USING (query_id)""",
     "output_inventory": "SELECT conv_id || '/' || turn AS label, len(string_split(CASE WHEN coalesce(text, '') = '' THEN '(no output)' ELSE text END, chr(10))) AS line_count FROM conversations",
     "stream_tool_stats": f"WITH {_LOG} SELECT tool, count(*) AS calls, CAST(sum(bytes_returned) AS BIGINT) AS bytes_returned FROM calls GROUP BY tool",
     "exec_map": "SELECT r_regionkey AS job_id, lower(r_name) || chr(10) AS text FROM region",

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import format_bytes, lines, tokens
+from lodestone.functions.text import format_bytes, let, lines, tokens
 from lodestone.operators import chunk as ch
+from lodestone.operators import chunk_ranges as cr
 from lodestone.operators import compact as co
 from lodestone.operators import fuzzy as fz
 from lodestone.operators import html as ht
@@ -61,10 +62,21 @@ def page_documents(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select(F.col("page_id").alias("doc_id"), F.col("url").alias("source"), ht.html_to_markdown(F.col("html")).alias("text"))
 
 
-def benchmark_queries(spark: SparkSession, folder: str, words: int = 3, joined: str = " ") -> DataFrame:
-    """One query for each benchmark item: its leading words."""
-    first = F.array_join(F.slice(F.split("text", r"\s+"), F.lit(1), F.lit(words)), joined)
-    return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), first.alias("query"), F.lit(None).cast("string").alias("source"), F.lit(3).alias("k"))
+def benchmark_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """One query for each benchmark item: its whole text."""
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(None).cast("string").alias("source"), F.lit(3).alias("k"))
+
+
+def paired(query: Column) -> Column:
+    """The words of a query, each two of them as one phrase."""
+    pairs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(2)), lambda i: F.concat_ws("-", F.slice(w, i + 1, F.lit(2))))
+    return F.array_join(let(F.split(query, r"\s+"), pairs), " ")
+
+
+def short_queries(spark: SparkSession, folder: str, words: int) -> DataFrame:
+    """Queries of a few words, to be misspelt or cut: the first ones of each benchmark item."""
+    first = F.array_join(F.slice(F.split("query", r"\s+"), F.lit(1), F.lit(words)), " ")
+    return benchmark_queries(spark, folder).withColumn("query", first)
 
 
 def call_log(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,6 +118,18 @@ def chunk_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return ch.chunk(table(spark, folder, "documents").withColumn("text", text)).filter("content IS NOT NULL")
 
 
+@query
+def chunk_markdown_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents under headings of all levels, cut into ranges of fifty lines."""
+    n, mark = F.col("doc_id"), lambda k: F.repeat(F.lit("#"), (k % 4 + 1).cast("int"))
+    text = F.concat(
+        mark(n), F.lit(" "), "source", F.lit("\n"), "text", F.lit("\n```\n# no heading\n---\n```\n"), mark(F.floor(n / 4)), F.lit(" "), "lang", F.lit("\nend\n-*_ \ntail\n"),
+        mark(F.floor(n / 16)), F.lit(" last\n"), F.when(n % 3 == 0, "```\nopen\n# x\n---").otherwise("closed"),
+    )
+    found = cr.markdown_ranges(cr.line_ranges(table(spark, folder, "documents").withColumn("text", text), 50))
+    return found.select(F.col("doc_id").alias("source_id"), "chunk_ord", "title", "content", F.when(F.col("has_code"), "code").otherwise("text").alias("content_type"))
+
+
 @query
 def index_postings(spark: SparkSession, folder: str) -> DataFrame:
     return se.postings(doc_chunks(spark, folder)).groupBy("token", "field").agg(F.count(F.lit(1)).alias("tf"), F.countDistinct("source_id", "chunk_ord").alias("df"), F.max("pos").alias("last_pos"))
@@ -130,7 +154,7 @@ def bm25_source_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def phrase_match(spark: SparkSession, folder: str) -> DataFrame:
-    return ix.phrase_hits(doc_store(spark, folder).snapshot(), benchmark_queries(spark, folder, 2, "-")).drop("commit", "dl")
+    return ix.phrase_hits(doc_store(spark, folder).snapshot(), benchmark_queries(spark, folder).withColumn("query", paired(F.col("query")))).drop("commit", "dl")
 
 
 @query
@@ -141,14 +165,14 @@ def stemmed_topk(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def substring_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Queries are inner parts of words, which no token equals."""
-    q = benchmark_queries(spark, folder, 2).withColumn("query", F.concat_ws(" ", F.substring(F.split_part("query", F.lit(" "), F.lit(1)), 1, 4), F.substring(F.split_part("query", F.lit(" "), F.lit(2)), 2, 4)))
+    q = short_queries(spark, folder, 2).withColumn("query", F.concat_ws(" ", F.substring(F.split_part("query", F.lit(" "), F.lit(1)), 1, 4), F.substring(F.split_part("query", F.lit(" "), F.lit(2)), 2, 4)))
     return ranked(ix.substring_search(doc_store(spark, folder).with_grams(), q))
 
 
 def misspelled(spark: SparkSession, folder: str) -> DataFrame:
     """The leading words of each benchmark item, those of four letters or more with a ``q`` after the second."""
     wrong = F.transform(F.split("query", " "), lambda w: F.when(F.char_length(w) >= 4, F.concat(F.substring(w, 1, 2), F.lit("q"), F.substring(w, 3, 99))).otherwise(w))
-    return benchmark_queries(spark, folder).withColumn("query", F.array_join(wrong, " "))
+    return short_queries(spark, folder, 3).withColumn("query", F.array_join(wrong, " "))
 
 
 @query
@@ -177,11 +201,24 @@ def store_sources(spark: SparkSession, folder: str) -> DataFrame:
     return doc_store(spark, folder).list_sources().select("source_id", "label", "chunk_count", "code_chunk_count")
 
 
+def layered_queries(spark: SparkSession, folder: str) -> DataFrame:
+    return short_queries(spark, folder, 3).unionByName(misspelled(spark, folder).withColumn("query_id", F.col("query_id") + 1_000_000))
+
+
+def layered(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", "rank", "layer", "source_id", "chunk_ord", "title", F.round("score", 6).alias("score"), "corrected")
+
+
 @query
 def search_cascade(spark: SparkSession, folder: str) -> DataFrame:
-    q = benchmark_queries(spark, folder).unionByName(misspelled(spark, folder).withColumn("query_id", F.col("query_id") + 1_000_000))
-    found = ix.cascade(doc_store(spark, folder), q)
-    return found.select("query_id", "rank", "layer", "source_id", "chunk_ord", "title", F.round("score", 6).alias("score"), "corrected", "snippet")
+    found = ix.cascade(doc_store(spark, folder), layered_queries(spark, folder))
+    return found.select(*layered(found).columns[:-2], F.round("score", 6).alias("score"), "corrected", "snippet")
+
+
+@query
+def search_layers(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole search without stemming."""
+    return layered(ix.cascade(doc_store(spark, folder), layered_queries(spark, folder), stemmed=False))
 
 
 @query

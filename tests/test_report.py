@@ -91,7 +91,7 @@ def test_discovery_lines(spark, tmp_path):
     store.index(outputs(spark).select("doc_id", "source", "text").union(spark.createDataFrame([(7, "code", "# H\n```\nx\n```\n")], "doc_id long, source string, text string")), F.lit("2024-01-01").cast("timestamp"))
     calls = spark.createDataFrame([(i, 1, "search", dt.datetime(2024, 1, 1), 1, 0, 0) for i in range(6)], log)
     got = text(calls)
-    assert "| Indexed sources | 4 |\n| Total chunks | 10 |\n| Vocabulary size | 7 |\n| Trigram index | lazy (not yet needed) |\n\n### Indexed Sources\n\n- **cmd one** — 1 chunks\n- **cmd two** — 4 chunks\n" in got
+    assert "| Indexed sources | 4 |\n| Total chunks | 10 |\n| Vocabulary size | 6 |\n| Trigram index | lazy (not yet needed) |\n\n### Indexed Sources\n\n- **cmd one** — 1 chunks\n- **cmd two** — 4 chunks\n" in got
     assert "- **code** — 1 chunks (1 with code)\n\n### Top Searchable Terms\n\n" in got and got.endswith("Suggestions\n\n- **Batch your searches** — pass multiple queries in a single search() call")
     store.with_grams()
     assert "| Trigram index | active |" in text(calls)
