@@ -53,6 +53,7 @@ def batch_text(outputs: DataFrame) -> DataFrame:
     return outputs.groupBy("batch_id").agg(F.array_join(_in_order(section, F.col("ord")), "").alias("text"))
 
 
+#: Fixed value: what a refused call says. The lines that results and notices are made of, below, are fixed values too.
 BLOCKED = "Too many search calls in quick succession. Use batch_execute instead to run commands and search in one call."
 
 

@@ -60,7 +60,7 @@ def _cost(tokens: Column, price: float) -> Column:
 
 
 def report_text(calls: DataFrame, elapsed_s: int = 0, price: float = 3.0) -> DataFrame:
-    """One row, ``report``: the statistics of a session as markdown, tools in the order of their first calls."""
+    """One row, ``report``: the statistics of a session as markdown, tools in the order of their first calls. Its wording is fixed values."""
     number = lambda c: F.format_number(c, 0)
     span = lambda what: F.concat(F.lit("~"), number(F.col(f"tokens_{what}_low")), F.lit("-"), number(F.col(f"tokens_{what}_high")), F.lit(" tokens ("), _cost(F.col(f"tokens_{what}_mid"), price), F.lit(")"))
     percent, times = F.format_string("%.1f", "reduction_pct"), F.coalesce(F.format_string("%.1fx", "ratio"), F.lit("∞"))
