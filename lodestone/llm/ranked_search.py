@@ -311,7 +311,8 @@ def search(index: Index, items: DataFrame, k: int = 50) -> DataFrame:
     terms = stored(asked_terms(named, rows, index.n_docs, groups), "search-terms")
     parts = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>"))
     documents = rows.filter("term IS NULL").select("*", parts.alias("part"), F.lit(None).cast("array<long>").alias("qids"), F.lit(None).cast("long").alias("weight"))
-    met = rows.join(terms, "term").unionByName(documents).repartition("part", "shard").sortWithinPartitions("part", "shard", F.asc_nulls_first("term"))
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # postings are few bytes but much work
+    met = rows.join(terms, "term").unionByName(documents).repartition(tasks, "part", "shard").sortWithinPartitions("part", "shard", F.asc_nulls_first("term"))
     found = best_of_shards(met, k).withColumn("salt", F.pmod(F.xxhash64("doc_id", "score"), F.lit(SALTS)))
     best = best_first(best_first(found, k, "qid", "salt"), k, "qid")
     return best.join(named.select("qid", "item_id"), "qid").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
