@@ -39,7 +39,7 @@ from lodestone.llm._common import _remove_at_exit, scratch_path, small_batches,
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SHARD_DOCS, SHARD_BYTES, BLOCK, SPAN, ITEMS, SALTS = 4096, 16_000_000, 128, 1024, 1000, 64
+SHARD_DOCS, SHARD_BYTES, BLOCK, SPAN, ITEMS, SALTS = 2048, 8_000_000, 128, 1024, 1000, 64
 INDEX = "shard long, term string, df int, blocks binary, payload binary"
 NO_ID = np.iinfo(np.int64).min
 #: Bytes in lower case, with all that is in no term as a blank.
